@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from vellum.llm import automaton, runindex, simhash
+from vellum.llm import automaton, jaccard, runindex, simhash
 
 from .cases import SCHEMA, documents, frame
 
@@ -152,3 +152,63 @@ def test_one_document_of_each_component_stays(spark):
 @pytest.mark.parametrize("operator", [runindex.suffix_dedup, automaton.word_dedup, simhash.near_duplicates, simhash.keep_first])
 def test_empty(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def brute_first(rows, k=5):
+    """Ids left of each component of texts with a Jaccard similarity of 0.8 or more, and the pairs of different texts."""
+    low = lambda t: (t or "").encode().translate(simhash._LOWER).translate(simhash._SPACE).split()
+    sets = [frozenset(tuple(w[p : p + k]) for p in range(max(1, len(w) - k + 1))) if w else frozenset() for w in (low(r[1]) for r in rows)]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or (5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)):
+                pairs += a != b
+                root[find(i)] = find(j)
+    first = {}
+    for i, r in enumerate(rows):
+        first.setdefault(find(i), []).append((r[0] is None, r[0]))
+    return sorted(map(str, (min(g)[1] for g in first.values()))), pairs
+
+
+def near_copies(n=40):
+    """Texts and copies of them with a similarity of about 0.7 to 0.99, among texts that share a long passage."""
+    r = np.random.default_rng(5)
+    word = lambda: "w" + str(r.integers(0, 5000))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for i in range(n):
+        size = int(r.integers(5, 250))
+        words = (passage if i % 2 else []) + [word() for _ in range(size)]
+        rows.append((5000 + i, " ".join(words), "en", "s", 1))
+        for j in range(3):
+            edits = max(1, int(len(words) * r.uniform(0, 0.035)))
+            copy = [word() if p in set(r.integers(0, len(words), edits).tolist()) else w for p, w in enumerate(words)]
+            rows.append((6000 + 10 * i + j, " ".join(copy) + (" " + " ".join(word() for _ in range(size // 8)) if j == 2 else ""), "en", "s", 1))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [2, 10**9])
+def test_all_near_copies_of_the_stage_go(spark, hot):
+    rows = documents() + near_copies() + near_copies(3)
+    want, pairs = brute_first(rows)
+    assert pairs > 60
+    got = jaccard.keep_first(frame(spark, rows), hot=hot)
+    assert got.columns == frame(spark).columns
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == want
+
+
+def test_similarity_at_the_limit(spark):
+    words = [f"v{i}" for i in range(400)]
+    # 100 shingles against 80 of them, which is enough, and against 79, which is not.
+    rows = [(1, " ".join(words[:104])), (2, " ".join(words[:84])), (3, " ".join(words[200:304])), (4, " ".join(words[200:283]))]
+    got = jaccard.keep_first(frame(spark, [(*r, "en", "s", 1) for r in rows])).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 3, 4]
+    assert jaccard.keep_first(frame(spark, rows[:0])).count() == 0
