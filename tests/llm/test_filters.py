@@ -144,6 +144,16 @@ def test_compression_prefers_its_domain(spark):
     assert len(edge) == len(documents()) and all(x["score"] == 0.0 for x in edge if not x["n_bytes"])
 
 
+def test_every_labelled_document_is_in_domain(spark):
+    n = 25_000
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "if(id % 5 = 0, cast(null as int), 0) as toxic")
+    assert compression.in_domain_ids(labels.union(labels)).count() == n
+    df = spark.range(n + 500).selectExpr("id as doc_id", "concat('w', id % 10) as text")
+    flagged = df.join(compression.in_domain_ids(labels).selectExpr("doc_id", "true as _in"), "doc_id", "left")
+    counts = compression.term_counts(flagged, "_in").collect()
+    assert {(bytes(r["term"]).decode(), r["n"], r["n_in"]) for r in counts} == {(f"w{i}", n // 10 + 50, n // 10) for i in range(10)}
+
+
 @pytest.mark.parametrize("run", [quality.verdicts, quality.filtered, pii.digests, pii.redacted])
 def test_empty(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -20,8 +20,6 @@ DICTIONARY_BYTES = 110 << 10
 LEVEL = 3
 #: Distinct terms that a Python worker holds before it passes its counts on.
 TERMS = 200_000
-#: The classifier's bounded sample: labelled rows whose documents are in-domain, least hashes of the id first.
-MAX_LABELLED = 20_000
 
 
 def term_counts(df: DataFrame, domain_col: str, text_col: str = "text") -> DataFrame:
@@ -95,18 +93,17 @@ def sizes(df: DataFrame, general: bytes, inner: bytes, id_col: str = "doc_id", t
     return map_texts(df, id_col, text_col, setup, [field("n_bytes", "long"), field("size_in", "long"), field("size_general", "long"), field("score", "double")], as_bytes=True)
 
 
-def in_domain_ids(labels: DataFrame, id_col: str = "doc_id", limit: int = MAX_LABELLED) -> DataFrame:
-    """The ids of at most `limit` rows labelled as of good quality and not toxic, least hashes first: a fixed bound for a broadcast."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    return good.orderBy(F.xxhash64(id_col), id_col).limit(limit)
+def in_domain_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The distinct ids of all rows labelled as of good quality and not toxic."""
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(id_col).where(F.col(id_col).isNotNull()).distinct()
 
 
-def compression_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """sizes() under dictionaries of df itself; the in-domain documents are those of in_domain_ids().
+def compression_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """sizes() under dictionaries of df itself; the in-domain documents are all those of in_domain_ids().
 
     An empty table has no rows; without any labelled document the in-domain dictionary is empty.
     """
-    ids = in_domain_ids(labels, id_col, max_labelled).withColumn("_in", F.lit(True))
-    flagged = df.select(id_col, text_col).join(F.broadcast(ids), id_col, "left")
+    ids = in_domain_ids(labels, id_col).withColumn("_in", F.lit(True))
+    flagged = df.select(id_col, text_col).join(ids, id_col, "left")
     counts = stored(term_counts(flagged, "_in", text_col), "terms")
     return sizes(df, dictionary(counts, "n"), dictionary(counts, "n_in"), id_col, text_col)
