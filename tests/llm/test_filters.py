@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.llm import boosting, compression, decontam, pii, quality
 
@@ -154,6 +155,23 @@ def test_every_labelled_document_is_in_domain(spark):
     assert {(bytes(r["term"]).decode(), r["n"], r["n_in"]) for r in counts} == {(f"w{i}", n // 10 + 50, n // 10) for i in range(10)}
 
 
+@pytest.mark.parametrize("word", ["correcthorsebattery", "QwErTyUiOpAsDfGhJk", "hunter2x", "Sesame"])
+def test_credentials_without_digits_or_of_few_characters(spark, word):
+    texts = [f"My password={word} is old", f'the token: "{word}" too']
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = [r["text"] for r in pii.redacted(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()]
+    assert got == [t.replace(word, "[SECRET]") for t in texts]
+    plain = [(0, f"My password of {word} stays, as {word} does: {word} alone", "en", "s", 1)]
+    assert pii.redacted(spark.createDataFrame(plain, SCHEMA)).first()["text"] == plain[0][1]
+
+
+def test_the_generators_propose_all_labelled_credentials(spark):
+    rows = [(i, before, match, y) for i, (kind, match, before, y) in enumerate(pii.labelled_rows(3000, seed=99)) if kind == "secret"]
+    df = spark.createDataFrame(rows, "i int, before string, match string, y int").withColumn("text", F.concat("before", "match"))
+    got = df.withColumn("s", pii._spans(F.col("text"), pii._GENERATORS["secret"])).where("y = 1").select("match", F.exists("s", lambda s: s["match"] == F.col("match")).alias("hit")).collect()
+    assert len(got) > 500 and all(r["hit"] for r in got)
+
+
 @pytest.mark.parametrize("run", [quality.verdicts, quality.filtered, pii.digests, pii.redacted])
 def test_empty(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0

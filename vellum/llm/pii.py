@@ -36,7 +36,8 @@ _BASE = {
 }
 _SIGN = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _GENERATORS = {
-    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}+",
+    # Every run of 12 characters; right after a credential's name and an assignment every run.
+    "secret": r"(?<![A-Za-z0-9_+/-])(?:[A-Za-z0-9_+/-]{12,}+|(?<=[=:][\x20\t]?[\"']?)(?<=(?i:password|passwd|pwd|secret|token|api[_\x20-]?key|access[_\x20-]?key|credential|auth)[^\n]{0,8})[A-Za-z0-9_+/-]++)",
     "contact": r"(?<![0-9+])\(?[0-9][\x20().0-9-]{6,}[0-9]",
 }
 FORMAT = ("digits", "upper", "lower", "mixed", "long", "very_long", "grouped", "many_digits", "hex", "capitals")
@@ -153,7 +154,7 @@ def labelled_rows(n: int = TRAIN_ROWS, seed: int = 7) -> list[tuple[str, str, st
     word = lambda k: pick(low, k)
     rows = []
     while len(rows) < n:
-        kind = r.randrange(12)
+        kind = r.randrange(14)
         plain = f"{word(5)} {word(4)} "
         if kind == 0:
             rows.append(("secret", pick("0123456789abcdef", r.choice([16, 18, 24, 32, 40])), plain + r.choice(["password=", "pwd: ", "secret = ", "auth=", "token = \"", "api_key = '"]), 1))
@@ -175,6 +176,11 @@ def labelled_rows(n: int = TRAIN_ROWS, seed: int = 7) -> list[tuple[str, str, st
             rows.append(("contact", r.choice([f"20{pick(dig, 2)}-{pick(dig, 2)}-{pick(dig, 2)}", pick(dig, r.randint(8, 20)), f"{pick(dig, 4)} - {pick(dig, 4)}", f"{pick(dig, 2)}.{pick(dig, 2)}.20{pick(dig, 2)}"]), plain, 0))
         elif kind == 10:
             rows.append(("contact", " ".join(pick(dig, r.randint(1, 3)) for _ in range(r.randint(4, 9))), plain, 0))
+        elif kind == 11:
+            name = r.choice(["password=", "pwd: ", "secret = ", "auth=", "token: \"", "api_key = '", "token=\"", "passwd:"])
+            rows.append(("secret", r.choice([pick(low, r.randint(6, 30)), pick(low + up, r.randint(6, 30)), pick(low + up + dig, r.randint(6, 11)), word(r.randint(5, 12)).capitalize()]), plain + name, 1))
+        elif kind == 12:
+            rows.append(("secret", r.choice([word(r.randint(12, 20)), word(12).capitalize(), word(6) + "-" + word(8)]), plain + r.choice(["note: ", "see: \"", "password of ", "token and ", "x = ", "'"]), 0))
         else:
             rows.append(("contact", ".".join(pick(dig, r.randint(1, 3)) for _ in range(r.choice([4, 5]))), plain, 0))
     return rows
@@ -207,7 +213,7 @@ def base_spans(text: Column, kind: str) -> Column:
 
 def _added(text: Column, kind: str, taken: Column) -> Column:
     trees, cut = models()[kind]
-    sign = r"[A-Za-z0-9_+/-]{12}" if kind == "secret" else r"[0-9][\x20().0-9-]{6}"
+    sign = r"[A-Za-z0-9_+/-]{12}|[=:][\x20\t]?[\"']?[A-Za-z0-9_+/-]" if kind == "secret" else r"[0-9][\x20().0-9-]{6}"
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
     def good(s: Column) -> Column:
@@ -215,12 +221,7 @@ def _added(text: Column, kind: str, taken: Column) -> Column:
         features = _features(s["match"], F.substring(text, lo + 1, s["start"] - lo))
         return ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])) & (trees.column(features, FEATURES) >= F.lit(cut))
 
-    # Words of letters alone are most of what the generators could propose and never personal data by themselves.
-    pattern = _GENERATORS[kind]
-    if kind == "secret":
-        pattern = pattern.replace("[A-Za-z0-9_+/-]{12,}+", "(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}+")
-        sign = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])" + sign
-    return F.when(text.rlike(sign), F.filter(_spans(text, pattern), good)).otherwise(empty)
+    return F.when(text.rlike(sign), F.filter(_spans(text, _GENERATORS[kind]), good)).otherwise(empty)
 
 
 def _joined(kind: str, spans: Column) -> Column:
