@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from vellum.llm import automaton, jaccard, runindex, simhash
+from vellum.llm import automaton, jaccard, runindex, simhash, windows
 
 from .cases import SCHEMA, documents, frame
 
@@ -76,18 +76,73 @@ def test_run_length_index_on_random_texts():
     for n in range(20):
         texts = [rng.integers(97, 100, rng.integers(8, 60)).astype(np.uint8) for _ in range(15)]
         texts[7] = np.concatenate([texts[2], texts[3]])
-        ids = rng.integers(0, 8, 15)
-        got = runindex.RunLengthIndex(texts, ids, 8).stream(texts, ids)
-        held = [{bytes(t[p : p + 8]) for p in range(len(t) - 7)} for t in texts]
-        for t, i, starts in zip(texts, ids, got, strict=True):
-            assert starts.tolist() == [p for p in range(len(t) - 7) if any(bytes(t[p : p + 8]) in h for h, j in zip(held, ids, strict=True) if j < i)], n
-
-
-def test_foreign_texts_stream_through_the_index():
-    index = runindex.RunLengthIndex([np.frombuffer(b"abracadabra-abracadabra", np.uint8)], np.array([1]), 6)
-    got = index.stream([np.frombuffer(b"zzabracadzbra-abzz", np.uint8)], np.array([2]))
-    text = b"zzabracadzbra-abzz"
-    assert set(got[0].tolist()) <= {p for p in range(len(text) - 5) if text[p : p + 6] in b"abracadabra-abracadabra"}
+        colours = rng.integers(0, 3, 15)
+        others = [rng.integers(96, 101, rng.integers(1, 40)).astype(np.uint8) for _ in range(9)] + texts[5:9]
+        own = rng.integers(0, 4, 13)
+        got = runindex.RunLengthIndex(texts, colours, 8).stream(others, own)
+        held = {(int(i), bytes(t[p : p + 8])) for t, i in zip(texts, colours, strict=True) for p in range(len(t) - 7)}
+        for t, i, starts in zip(others, own, got, strict=True):
+            assert starts.tolist() == [p for p in range(len(t) - 7) if (int(i), bytes(t[p : p + 8])) in held], n
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(1)
+    for top in (3, 40, 250):
+        s = rng.integers(1, top, 800)
+        s[rng.integers(0, 800, 30)] = 0
+        s[-1] = 0
+        coloured = np.where(s > 0, s + 300 * np.cumsum(s == 0), 0)
+        spelled = [[(int(x), 0) if x else (0, p + k) for k, x in enumerate(coloured[p:])] for p in range(800)]
+        assert runindex.suffix_array(coloured, s).tolist() == sorted(range(800), key=lambda p: spelled[p])
+
+
+def test_halves_by_id_find_every_smaller_document():
+    rng = np.random.default_rng(9)
+    base = rng.integers(97, 123, 90).astype(np.uint8)
+    view = windows.View(50, 24, False, False, 1 << 20)
+    texts, ids = [], []
+    for i in range(70):
+        t = base.copy()
+        for p in rng.integers(0, 90, int(rng.integers(0, 3))):
+            if not 40 <= p < 64:
+                t[p] = 65 + int(rng.integers(3))
+        texts.append(t[int(rng.integers(0, 20)) : 90 - int(rng.integers(0, 12))])
+        ids.append(int(rng.integers(0, 40)))
+    order = sorted(range(70), key=lambda i: ids[i])
+    texts, ids = [texts[i] for i in order], [ids[i] for i in order]
+    mid = int(windows.gram_hashes(base[40:64], view)[0])
+    got = runindex._index(windows.Candidates(view, [mid] * 70, texts, [(i, 0, 0, 0) for i in ids]))
+    first = {}
+    for t, i in zip(texts, ids, strict=True):
+        for p in range(len(t) - 49):
+            first.setdefault(bytes(t[p : p + 50]), i)
+    for t, i, starts in zip(texts, ids, got, strict=True):
+        assert starts.tolist() == [p for p in range(len(t) - 49) if first[bytes(t[p : p + 50])] < i]
+
+
+def test_words_whose_polynomial_hashes_are_equal_are_told_apart(spark):
+    # Thue-Morse words of 2**12 letters collide under any odd base modulo 2**64.
+    a = "a"
+    for _ in range(12):
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    assert windows.word_hashes(a.encode())[0] == windows.word_hashes(b.encode())[0]
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{a} {rest}", "en", "s", 1), (2, f"{b} {rest}", "en", "s", 1), (3, f"{a}  {rest}", "en", "s", 1)]
+    got = {r["doc_id"]: r["n_removed"] for r in automaton.word_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
+@pytest.mark.parametrize("operator,brute,length", [(runindex.suffix_dedup, brute_bytes, 50), (automaton.word_dedup, brute_words, 20)])
+def test_one_minimiser_in_every_document(spark, operator, brute, length):
+    r = np.random.default_rng(3)
+    word = lambda: "w" + str(r.integers(0, 50_000))
+    core = " ".join(f"core{i}" for i in range(8))
+    rows = [(i, f"{' '.join(word() for _ in range(14))} {core} {' '.join(word() for _ in range(14))}", "en", "s", 1) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " " + core, "en", "s", 1) for i in range(0, 300, 7)]
+    for sizes in ({}, {"block_bytes": 9_000, "bucket_bytes": 6_000}):
+        got = operator(frame(spark, rows), length=length, **sizes).collect()
+        assert sorted(tuple(x) for x in got) == brute(rows, length)
 
 
 def brute_simhash(rows, shingle):

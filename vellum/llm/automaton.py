@@ -81,14 +81,14 @@ class SuffixAutomaton:
 
 def _index(c: Candidates) -> list[np.ndarray]:
     shard = SuffixAutomaton()
-    return [np.array(shard.stream(s.tolist(), c.view.length), dtype=np.int64) for s in c.symbols]
+    return [np.array(shard.stream(s, c.view.length), dtype=np.int64) for s in c.symbols]
 
 
 def word_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, kept_text: bool = False, **sizes) -> DataFrame:
     """Rows (id, n_words, n_removed long, kept_sha256 string, and kept binary if asked for), one a row of df.
 
     A word goes if a window of `length` words around it also starts earlier: in a document of smaller id, or before in the
-    same. Words are compared by 64-bit hashes of whole words, windows by all their words. Null texts have no words. A null id counts as the
+    same. Words are compared by their bytes; hashes only decide where windows meet. Null texts have no words. A null id counts as the
     least. Rows with the same id and text get the same result; with different texts they count as one document, in a
     fixed order of their digests. An empty table gives no rows. Texts are taken whole, and other columns aren't read.
     """
