@@ -223,9 +223,9 @@ def test_discovery_and_tasks(spark, tmp_path):
     rows = files.discover(spark, c)
     assert rows.count() == 3
     p = Project(rows, c)
-    made = tasks.measure(p, "correctness.catalog")
+    made = tasks.measure(p, "all")
     assert made["correctness.catalog"]["summary"] == {"test_files": 1, "test_cases": 2, "status": "discovered"}
-    assert sorted(x.name for x in (tmp_path / "target" / "vellum").iterdir()) == ["correctness_review.json", "test_catalog.json"]
+    assert len(made) == 12 and len(list((tmp_path / "target" / "vellum").iterdir())) == 13
     head, body = tasks.locality(p, None)
     assert head["records"] == 3 and len(body["records"]) == 3 and tasks.report(made["correctness.catalog"])
     assert tasks.order("quality.cleanup")[-1] == "quality.cleanup" and len(tasks.order("quality.cleanup")) == 3
@@ -265,5 +265,41 @@ def test_precision_recall(spark):
     assert {r["kind"]: (r["precision"], r["recall"]) for r in got} == {"k": (0.5, 0.5), "j": (1.0, 0.0)}
 
 
+def test_without_the_operators_of_the_pipeline(tmp_path):
+    import os
+    import shutil
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    for name in ("vellum", "__spark_entry__.py"):
+        (shutil.copytree if (root / name).is_dir() else shutil.copy)(root / name, tmp_path / name)
+    for name in ("corpus_pipeline.py",):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    shutil.rmtree(tmp_path / "vellum" / "llm", ignore_errors=True)
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'hotspots' in q, any(k.startswith('op1') or k == 'pipeline' for k in q))"
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    n, base, llm = got.stdout.split()
+    assert int(n) > 20 and base == "True" and llm == "False", got.stderr
+
+
+def test_suppressions_by_every_combination_of_fields(spark):
+    rows = [(i, k, f) for i in "ab" for k in "kl" for f in ("x", "y", None)]
+    df = spark.createDataFrame([(*r, "low") for r in rows], "id string, kind string, file string, severity string")
+    rules = [(0, "b", "l", "y", "all"), (1, None, "k", "x", "kind and file"), (2, "a", "", None, "id"), (3, None, None, "y", "file"), (4, "b", "k", None, "id and kind"), (5, "b", None, "x", "id and file"), (6, None, "m", None, "none"), (7, "zz", None, "x", "none")]
+    table = spark.createDataFrame(rules, "idx int, s_id string, s_kind string, s_file string, reason string")
+
+    def hit(rule, row):
+        return all(not want or want == is_ for want, is_ in zip(rule[1:4], row, strict=True))
+
+    got = {(r["id"], r["kind"], r["file"]): (r["suppressed"], r["reason"]) for r in findings.suppress(df, table).collect()}
+    want = {row: next(((True, r[4]) for r in rules if hit(r, row)), (False, None)) for row in rows}
+    assert got == want
+    assert sorted(r["idx"] for r in findings.stale(df, table).collect()) == [6, 7]
+    every = spark.createDataFrame([(0, None, None, None, "everything")], table.schema)
+    assert all(r["reason"] == "everything" for r in findings.suppress(df, every).collect()) and findings.stale(df, every).count() == 0
+
+
 def test_parse_empty(spark):
     assert parse(spark.createDataFrame([], "path string, kind string, text string")).count() == 0

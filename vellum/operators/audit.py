@@ -94,5 +94,5 @@ def run(spark: SparkSession, config: Config, project, baseline: str | None = Non
             else:
                 status, reason = "unavailable", "no worktree of the base"
     lines = spark.createDataFrame(hunks, "file string, start int, n int").where("n > 0").select("file", F.explode(F.expr("sequence(start, start + n - 1)")).alias("line"))
-    rows = flags(project.findings, spark.createDataFrame([(i,) for i in read_baseline(baseline)], "id string"), spark.createDataFrame([(f,) for f in files], "file string"), lines, base_rows, status != "disabled").persist()
+    rows = project._keep(flags(project.findings, spark.createDataFrame([(i,) for i in read_baseline(baseline)], "id string"), spark.createDataFrame([(f,) for f in files], "file string"), lines, base_rows, status != "disabled"), "audit")
     return {"rows": rows, "verdict": verdict(rows, bool(base)).first()["verdict"], "base": base, "changed_files": len(files), "changed_hunks": len(hunks), "base_comparison": status, "base_reason": reason}

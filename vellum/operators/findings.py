@@ -91,7 +91,7 @@ def semantic_findings(project) -> DataFrame:
     loss = sets.join(plain.select("file", F.col("owner").alias("target"), X.leaf(F.col("path")).alias("prop")), ["file", "target", "prop"], "left_semi")
     # Cycles.
     lines = plain.groupBy("file", F.concat_ws(":", F.col("owner").cast("string"), "path").alias("node")).agg(F.max_by("line", "ord").alias("line"))
-    ring = cycles(binding_edges(project)).withColumn("n", F.monotonically_increasing_id())
+    ring = cycles(binding_edges(project)).withColumn("n", F.col("nodes")[0])
     ring = ring.select("file", "n", F.explode("nodes").alias("node")).join(lines, ["file", "node"], "left")
     ring = ring.groupBy("file", "n").agg(F.array_sort(F.collect_list(F.coalesce("line", F.lit(1)))).alias("lines"), F.array_sort(F.collect_list(F.regexp_replace("node", "^[0-9]+:", ""))).alias("labels"))
     # Layout.
@@ -141,30 +141,47 @@ def _suppressions(project) -> DataFrame | None:
     return project.spark.createDataFrame(rows, "idx int, s_id string, s_kind string, s_file string, reason string") if rows else None
 
 
-_MATCH = "(s_id is null or s_id = '' or s_id = id) and (s_kind is null or s_kind = '' or s_kind = kind) and (s_file is null or s_file = '' or s_file = file)"
+_FIELDS = ("id", "kind", "file")
 
 
-def suppress(findings: DataFrame, rules: DataFrame | None, limit: int = 100_000) -> DataFrame:
-    """findings with suppressed and reason, by the first rule that matches. rules (idx, s_id, s_kind, s_file, reason) come
-    from a configuration: they are one array literal a row tests, refused beyond `limit`."""
+def _by_fields(rules: DataFrame) -> list[tuple[list[str], DataFrame]]:
+    """Rules by the fields that they set (empty ones count as not set): (fields, rules), at most eight."""
+    isset = {f: F.coalesce(F.col(f"s_{f}"), F.lit("")) != "" for f in _FIELDS}
+    out = []
+    for mask in range(1 << len(_FIELDS)):
+        fields = [f for i, f in enumerate(_FIELDS) if mask >> i & 1]
+        out.append((fields, rules.where(reduce(lambda a, f: a & (isset[f] if f in fields else ~isset[f]), _FIELDS, F.lit(True)))))
+    return out
+
+
+def suppress(findings: DataFrame, rules: DataFrame | None) -> DataFrame:
+    """findings with suppressed and reason, by the first rule that matches; rules: (idx, s_id, s_kind, s_file, reason).
+
+    Rules are joined by the fields that they set, the first of each combination of values, so that a finding meets at most eight.
+    """
     if rules is None:
         return findings.withColumn("suppressed", F.lit(False)).withColumn("reason", F.lit(None).cast("string"))
-    listed = sorted(rules.limit(limit + 1).collect(), key=lambda r: r["idx"])
-    if len(listed) > limit:
-        raise ValueError(f"more than {limit} suppressions")
-    rules = F.broadcast(findings.sparkSession.createDataFrame(listed, rules.schema))
-    keyed = findings.withColumn("_n", F.monotonically_increasing_id())
-    first = keyed.join(rules, F.expr(_MATCH)).groupBy("_n").agg(F.min_by("reason", "idx").alias("reason"))
-    return keyed.join(first, "_n", "left").withColumn("suppressed", F.col("reason").isNotNull()).select(*findings.columns, "suppressed", "reason")
+    out, made = findings, []
+    for n, (fields, some) in enumerate(_by_fields(rules)):
+        name = f"_rule{n}"
+        first = some.groupBy(*(F.col(f"s_{f}").alias(f) for f in fields)).agg(F.min(F.struct("idx", "reason")).alias(name))
+        out = out.join(first, fields, "left") if fields else out.join(F.broadcast(first), F.lit(True), "left")
+        made.append(name)
+    best = F.least(*made)
+    return out.select(*findings.columns, best.isNotNull().alias("suppressed"), best["reason"].alias("reason"))
 
 
 def stale(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules that match no finding."""
-    return rules.join(findings, F.expr(_MATCH), "left_anti")
+    parts = []
+    for fields, some in _by_fields(rules):
+        seen = findings.select(*(F.col(f).alias(f"s_{f}") for f in fields)).distinct() if fields else findings.limit(1).select(F.lit(True).alias("any"))
+        parts.append(some.join(seen, [f"s_{f}" for f in fields], "left_anti") if fields else some.join(F.broadcast(seen), F.lit(True), "left_anti"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def main_findings(project) -> DataFrame:
-    raw = project._keep(_all([input_findings(project), derived_findings(project), semantic_findings(project)]))
+    raw = project._keep(_all([input_findings(project), derived_findings(project), semantic_findings(project)]), "raw")
     rules = _suppressions(project)
     out = suppress(raw, rules)
     if rules is None:

@@ -49,15 +49,30 @@ def cycles_of(edges: list[tuple[str, str]]) -> list[list[str]]:
 
 
 def cycles(edges: DataFrame, file: str = "file") -> DataFrame:
-    """(file, nodes array<string>) of edges (file, src, dst); each file's graph is small and its own group."""
+    """(file, nodes array<string>) of edges (file, src, dst). Edges come in order of file, so that one call takes many files
+    and holds the graph of one; a node is in one cycle at most."""
 
-    def run(key, pdf):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        found = cycles_of(list(zip(pdf["src"], pdf["dst"], strict=True)))
-        return pd.DataFrame({file: pd.Series([key[0]] * len(found), dtype=object), "nodes": pd.Series([sorted(c) for c in found], dtype=object)})
+        def made(rows):
+            found = [(key, sorted(c)) for key, part in rows for c in cycles_of(part)]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([c for _, c in found], pa.list_(pa.string()))], names=[file, "nodes"])
 
-    return edges.groupBy(file).applyInPandas(run, f"{file} string, nodes array<string>")
+        now, held = None, []
+        for batch in batches:
+            done = []
+            for key, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now and held:
+                    done.append((now, held))
+                    held = []
+                now = key
+                held.append((a, b))
+            yield made(done)
+        yield made([(now, held)] if held else [])
+
+    ordered = edges.select(file, "src", "dst").repartition(file).sortWithinPartitions(file)
+    return ordered.mapInArrow(run, f"{file} string, nodes array<string>")
 
 
 def binding_edges(project) -> DataFrame:

@@ -106,7 +106,7 @@ class Resolution:
         base = X.leaf(F.col("type"))
         candidate = base.rlike("^[A-Z]") & ~base.isin(*sorted(BUILTIN | set(self.config.external_types)))
         rows = self.project.objects.join(self.targets, ["file", "type"], "left").withColumn("unresolved", F.col("target").isNull() & candidate)
-        return self.project._keep(rows.where("target is not null or unresolved").select("file", "ord", "object_id", "type", "line", "target", "unresolved"))
+        return self.project._keep(rows.where("target is not null or unresolved").select("file", "ord", "object_id", "type", "line", "target", "unresolved"), "uses")
 
     @cached_property
     def referenced(self) -> DataFrame:

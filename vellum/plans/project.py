@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions import text as X
 from ..sources.config import Config
 from ..sources.qml import read_source
+from .tables import removed, stored
 
 _REF = "struct<owner:int,name:string,line:int,target:int,external:boolean>"
 PARSED = {
@@ -50,21 +51,29 @@ def parse(sources: DataFrame) -> DataFrame:
 
 
 class Project:
-    """Lazy tables over one parsed corpus; what several of them read is persisted once."""
+    """Lazy tables over one parsed corpus; what several of them read is written once to the shared folder."""
 
     def __init__(self, sources: DataFrame, config: Config | None = None) -> None:
         self.config = config or Config()
         self.spark = sources.sparkSession
-        self.parsed = parse(sources).withColumn("place", F.collate(F.col("path"), "UNICODE")).persist()
-        self._held = [self.parsed]
+        self.sources = sources
+        self._held: list[DataFrame] = []
 
     def close(self) -> None:
+        """Deletes the written tables."""
         for df in self._held:
-            df.unpersist()
+            removed(self.spark, df)
+        self._held = []
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        self._held.append(df.persist())
-        return df
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written; its column `place`, if any, is made anew from the path behind it."""
+        plain = stored(df.drop("place"), name)
+        self._held.append(plain)
+        return plain.withColumn("place", F.collate(F.col("path" if "path" in df.columns else "file"), "UNICODE")) if "place" in df.columns else plain
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        return self._keep(parse(self.sources).withColumn("place", F.col("path")), "parsed")
 
     def _rows(self, column: str) -> DataFrame:
         return self.parsed.select(F.col("path").alias("file"), F.posexplode(column).alias("ord", "x")).select("file", "ord", "x.*")
@@ -128,7 +137,7 @@ class Project:
         for p in self.config.boundary["textPatterns"]:
             calls = calls + X.count(F.col("code"), p)
         outside = F.filter("refs", lambda r: r["external"])
-        effort = lambda e: X.rounded(e["lines"] * 0.7 + X.cyclomatic(e["code"]) * 1.5 + X.nesting(e["code"])["cognitive"] * 2)
+        effort = lambda e: X.rounded(e["lines"] * 0.7 + e["cyc"] * 1.5 + e["cog"] * 2)
         qml = self.parsed.where("kind = 'qml'")
         rows = qml.select(
             F.col("path").alias("file"), "path", "place",
@@ -151,18 +160,17 @@ class Project:
             X.count(F.col("code"), X.STYLE_NUMBERS).alias("numeric_style_literals"),
             calls.alias("process_boundary_calls"),
             F.when(self.allowed, 0).otherwise(calls).alias("process_boundary_violations"),
-            F.transform("executables", effort).alias("efforts"),
-            F.transform("executables", lambda e: X.nesting(e["code"])["cognitive"]).alias("cognitive"),
-            F.coalesce(F.array_max(F.transform("executables", lambda e: X.cyclomatic(e["code"]))), F.lit(0)).alias("max_cyclomatic"),
+            F.transform("executables", lambda e: F.struct(e["lines"].alias("lines"), X.cyclomatic(e["code"]).alias("cyc"), X.nesting(e["code"])["cognitive"].alias("cog"))).alias("each"),
             F.aggregate("bindings", F.lit(0), lambda a, b: a + X.binding_complexity(b["code"])).alias("binding_sum"),
         )
         total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
-        rows = rows.withColumn("max_cognitive", F.coalesce(F.array_max("cognitive"), F.lit(0)))
+        of = lambda k: F.transform("each", lambda e: e[k])
+        rows = rows.withColumns({"efforts": F.transform("each", effort), "cognitive": of("cog"), "max_cyclomatic": F.coalesce(F.array_max(of("cyc")), F.lit(0)), "max_cognitive": F.coalesce(F.array_max(of("cog")), F.lit(0))})
         mean = F.when(F.size("cognitive") > 0, total("cognitive") / F.size("cognitive")).otherwise(0.0)
         rows = rows.withColumn("effort", X.rounded(F.col("loc.source") * 0.35 + F.col("object_count") * 1.4 + F.col("max_depth") * 4 + total("efforts") * 0.7 + F.col("binding_sum") * 0.6 + F.col("distinct_id_references") * 2 + F.col("process_boundary_violations") * 8))
         rows = rows.withColumn("complexity_score", X.bounded(100 - F.col("max_depth") * 4 - F.col("object_count") * 0.7 - mean * 2))
         rows = rows.withColumn("locality_score", X.bounded((100 - F.col("distinct_id_references") * 4 - F.col("process_boundary_violations") * 10 - F.greatest(F.col("bindings") - 25, F.lit(0))).cast("double")))
-        return rows.drop("efforts", "cognitive", "binding_sum", "path")
+        return rows.drop("each", "efforts", "cognitive", "binding_sum", "path")
 
     @cached_property
     def components(self) -> DataFrame:
@@ -171,7 +179,7 @@ class Project:
         used = uses.groupBy(F.col("target").alias("file")).agg(F.count("*").cast("int").alias("use_count"))
         out = uses.groupBy("file").agg(F.countDistinct("target").cast("int").alias("fan_out"))
         rows = self.base_components.join(used, "file", "left").join(out, "file", "left").fillna(0, ["use_count", "fan_out"])
-        return self._keep(rows.withColumn("leverage_score", X.bounded(50 + F.col("use_count") * 15 - F.col("effort") * 0.15 - F.col("fan_out") * 2)))
+        return self._keep(rows.withColumn("leverage_score", X.bounded(50 + F.col("use_count") * 15 - F.col("effort") * 0.15 - F.col("fan_out") * 2)), "components")
 
     @cached_property
     def resolution(self):
@@ -183,13 +191,13 @@ class Project:
     def clones(self) -> DataFrame:
         from ..operators.clones import clone_groups
 
-        return self._keep(clone_groups(self.parsed.where("kind <> 'qmldir'").select("path", "text", "code"), int(self.config.thresholds["cloneWindow"])))
+        return self._keep(clone_groups(self.parsed.where("kind <> 'qmldir'").select("path", "text", "code"), int(self.config.thresholds["cloneWindow"])), "clones")
 
     @cached_property
     def findings(self) -> DataFrame:
         from ..operators.findings import main_findings
 
-        return self._keep(main_findings(self))
+        return self._keep(main_findings(self), "findings")
 
     @cached_property
     def scores(self) -> DataFrame:
