@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,32 +10,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..plans.tables import shared_dir, stored  # noqa: F401 (operators take them from here)
+
 #: Bytes of text given to a Python function at once; a longer text goes alone.
 CHUNK_BYTES = 4 << 20
+#: Rows of a few dozen bytes that are broadcast at most.
+BROADCAST_ROWS = 100_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share.
+def unused(name: str, *frames: DataFrame) -> str:
+    """A name like `name` that no column of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while f"_{name}" in taken:
+        name += "_"
+    return f"_{name}"
 
-    Only where that setting is absent (tests on one machine) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="vellum-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/vellum-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df written to the shared folder and read back: its lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def small(keys: DataFrame, column: str) -> DataFrame:
+    """A written table of keys of a few dozen bytes, to be broadcast while there are at most BROADCAST_ROWS, else joined by shuffle."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
 
 
 def total_bytes(df: DataFrame, text_col: str) -> int:
