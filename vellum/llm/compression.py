@@ -52,14 +52,26 @@ def term_counts(df: DataFrame, domain_col: str, text_col: str = "text") -> DataF
 
 
 def dictionary(counts: DataFrame, n_col: str, size: int = DICTIONARY_BYTES) -> bytes:
-    """At most `size` bytes of the terms of the greatest count times length, the greatest last. At most size / 2 rows reach the driver."""
-    gain = (F.col(n_col) * (F.octet_length("term") + 1)).alias("gain")
-    best = counts.where(F.col(n_col) > 0).select("term", gain).orderBy(F.desc("gain"), "term").limit(size // 2).collect()
+    """The terms of the greatest count times length, as many as fit into `size` bytes, the greatest last.
+
+    A histogram of gains, in steps of a sixteenth of a power of two, tells from which gain on the terms fill the dictionary;
+    only those are sorted and reach the driver, whatever the number of partitions.
+    """
+    n_bytes = F.octet_length("term") + 1
+    rows = counts.where(F.col(n_col) > 0).select("term", (F.col(n_col) * n_bytes).alias("gain"), n_bytes.alias("bytes")).withColumn("step", F.floor(F.log2("gain") * 16))
+    cut, filled = None, 0
+    for r in sorted(rows.where(F.col("bytes") <= size).groupBy("step").agg(F.sum("bytes").alias("bytes")).collect(), reverse=True):
+        if filled >= size:
+            break
+        cut, filled = r["step"], filled + r["bytes"]
+    if cut is None:
+        return b""
+    best = rows.where((F.col("step") >= cut) & (F.col("bytes") <= size)).select("term", "gain").orderBy(F.desc("gain"), "term").limit(size // 2).collect()
     out: list[bytes] = []
     for row in best:
         term = b" " + bytes(row["term"])
         if len(term) > size:
-            continue
+            break
         size -= len(term)
         out.append(term)
     return b"".join(reversed(out))
