@@ -1,10 +1,12 @@
 """Operators 3, 4, 7 and 10 and the pipeline against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,70 @@ def test_outliers_go_and_others_stay(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and kept.count() == 400
 
 
+def brute_estimate(x):
+    """Minimum covariance determinant of rows on the grid, from the same two starts, in numpy."""
+    p, u = 5, quality.UNIT
+    floor = np.array(quality.FLOOR)
+    factor = quality.SUBSET / quality.chi2_cdf(quality.chi2_quantile(quality.SUBSET, p), p + 2)
+    f = x / u
+
+    def fit(rows, scale):
+        c = np.cov(rows.T, bias=True) * scale
+        c[np.diag_indices(p)] = np.maximum(np.diag(c), floor**2)
+        return rows.mean(axis=0), np.linalg.cholesky(c)
+
+    def far(m, low):
+        return (np.linalg.solve(low, (f - m).T) ** 2).sum(axis=0)
+
+    def step(m, low):
+        cell = np.floor(np.log1p(far(m, low)) * quality.CELLS)
+        return fit(f[cell <= np.sort(cell)[math.ceil(quality.SUBSET * len(f)) - 1]], factor)
+
+    q = lambda s: np.sort(x >> 4, axis=0)[math.ceil(s * len(x)) - 1] * 16 / u
+    best = None
+    for now in ((q(0.5), np.diag(np.maximum((q(0.75) - q(0.25)) / 1.349, floor))), fit(f, 1.0)):
+        now = step(*now)
+        while True:
+            new = step(*now)
+            if np.log(np.diag(new[1])).sum() >= np.log(np.diag(now[1])).sum() - quality.FALL:
+                break
+            now = new
+        det = np.log(np.diag(now[1])).sum()
+        if best is None or det < best[0]:
+            best = det, now
+    return far(*best[1])
+
+
+def test_distances_against_brute_force_in_any_partitioning(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
+    rows = []
+    for i in range(700):
+        odd = i % 7 == 0
+        text = " ".join(word() + ("#" if r.random() < (0.3 if odd else 0.02) else "") + ("\n" if r.random() < 0.05 else "") for _ in range(r.randrange(60, 300)))
+        rows.append((i, text + ("\nagain and again" * r.randrange(0, 9 if odd else 2)), ["en", "*", None][i % 3], "s" if i % 2 else "*", 1))
+    df = spark.createDataFrame(rows, SCHEMA)
+    one, two = ({x["doc_id"]: tuple(x) for x in quality.verdicts(df.repartition(n)).collect()} for n in (1, 5))
+    assert one == two
+    features = {}
+    for i, _, lang, *_ in rows:
+        _, n, chars, symbols, lines, again, failed, *_ = one[i]
+        assert not failed
+        v = [math.log1p(n), math.log(chars / n), math.log1p(100 * symbols / n), math.log1p(100 * lines / n), again / n]
+        features.setdefault(lang, []).append((i, [math.floor(a * quality.UNIT + 0.5) for a in v]))
+    limit = quality.chi2_quantile(1 - quality.TAIL, 5)
+    for some in features.values():  # groups of under 200 rows use their language's estimate
+        far = brute_estimate(np.array([v for _, v in some]))
+        for (i, _), d in zip(some, far, strict=True):
+            assert abs(one[i][8] - d) < 1e-6 * (1 + d) and one[i][7] == (d <= limit)
+
+
+def test_filtered_keeps_columns_of_any_name(spark):
+    df = frame(spark).withColumnsRenamed({"ids": "row", "fp": "g_lang", "block": "distance", "first": "_vellum_key"})
+    got = quality.filtered(df)
+    assert got.columns == df.columns and got.count() == quality.verdicts(df).where("kept").count()
+
+
 def test_chi_square():
     assert abs(quality.chi2_quantile(0.75, 5) - 6.6257) < 1e-3
     assert abs(quality.chi2_cdf(11.0705, 5) - 0.95) < 1e-5
@@ -111,18 +177,51 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(who)
 
 
-@pytest.mark.parametrize("shard", [decontam.SHARD_BYTES, 500])
-def test_contamination(spark, shard):
+@pytest.mark.parametrize("part", [decontam.PART_BYTES, 4000])
+def test_contamination(spark, part):
     rows = [r for r in documents() if len(r[1] or "") < 6000]
     items = [("10", rows[5][1]), ("9", " ".join((rows[7][1] or "").split()[:20])), ("2", "the of"), ("3", None), ("4", "..."), ("5", "漢字 tail"), ("5", "漢字 tail")]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    got = [tuple(r) for r in decontam.verdicts(frame(spark, rows), bench, shard_bytes=shard).collect()]
+    got = [tuple(r) for r in decontam.verdicts(frame(spark, rows), bench, part_bytes=part).collect()]
     want = []
     for i, text, *_ in rows:
         n, hit, who = brute_hits(text, items)
         want.append((i, n, hit, len(who), hashlib.sha256(",".join(who).encode()).hexdigest(), hit > 0 and 20 * hit >= n))
     assert sorted(map(str, got)) == sorted(map(str, want))
-    assert decontam.clean(frame(spark, rows), bench).count() == sum(not w[-1] for w in want)
+    assert decontam.clean(frame(spark, rows), bench, part_bytes=part).count() == sum(not w[-1] for w in want)
+
+
+def test_matches_at_every_offset():
+    r = random.Random(6)
+    words = [f"w{i}".encode() for i in range(60)]
+    items = [(str(i), b" ".join(r.choice(words) for _ in range(r.randrange(1, 60)))) for i in range(40)]
+    one = decontam.Matcher(items)
+    for _ in range(200):
+        text = [r.choice(words) for _ in range(r.randrange(0, 20))]
+        for _ in range(3):
+            w = r.choice(items)[1].split()
+            lo = r.randrange(len(w))
+            text += w[lo : lo + r.randrange(1, 40)] + [r.choice(words) for _ in range(r.randrange(3))]
+        n, hit, who = brute_hits(b" ".join(text).decode(), [(i, t.decode()) for i, t in items])
+        found = one.hits(text)
+        assert (sum(b - a for a, b in decontam.spans_of(found)), sorted({i for *_, i in found})) == (hit, who)
+
+
+def test_memory_of_a_large_benchmark():
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from vellum.llm import decontam
+r = random.Random(1)
+items = [(str(i), b" ".join(b"w%d" % r.randrange(200_000) for _ in range(200))) for i in range(12_000)]
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+one = decontam.Matcher(items)
+print(sum(len(t) for _, t in items), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) * 1024, len(one.hits(items[7][1].split())))
+"""
+    size, grown, hits = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert size > decontam.PART_BYTES * 0.9 and hits == 1 and grown < 20 * size
 
 
 def test_spans_point_into_the_original(spark):
@@ -145,6 +244,30 @@ def test_compression_prefers_its_domain(spark):
     assert len(edge) == len(documents()) and all(x["score"] == 0.0 for x in edge if not x["n_bytes"])
 
 
+def test_compression_against_brute_force(spark):
+    import zstandard
+
+    r = random.Random(2)
+    rows = [(i, " ".join(f"t{min(int(r.expovariate(0.002)), 30_000)}" for _ in range(150)), "en", "s", 1) for i in range(600)] + [(700, None, "en", "s", 0), (701, "", "en", "s", 0)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    held = {}
+    for name, some in (("general", rows), ("in", [x for x in rows if x[0] < 400 and x[0] % 3 and x[0] % 5])):
+        n = Counter(w for x in some for w in (x[1] or "").encode().split())
+        left, out = compression.DICTIONARY_BYTES, []
+        for w in sorted(n, key=lambda w: (-n[w] * (len(w) + 1), w)):
+            if len(w) + 1 > left:
+                break
+            left -= len(w) + 1
+            out.append(b" " + w)
+        data = zstandard.ZstdCompressionDict(b"".join(reversed(out)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held[name] = zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=data)
+    got = {x["doc_id"]: tuple(x)[1:] for x in compression.compression_scores(spark.createDataFrame(rows, SCHEMA).repartition(5), labels).collect()}
+    for i, text, *_ in rows:
+        b = (text or "").encode()
+        x, y = len(held["in"].compress(b)), len(held["general"].compress(b))
+        assert got[i] == (len(b), x, y, (y - x) / len(b) if b else 0.0)
+
+
 def test_every_labelled_document_is_in_domain(spark):
     n = 25_000
     labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "if(id % 5 = 0, cast(null as int), 0) as toxic")
