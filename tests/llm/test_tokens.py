@@ -51,7 +51,7 @@ def test_backtracking_equals_merging(name):
     enc = reference(P.path(name))
     own = bpe.BacktrackEncoder(bpe.parse_ranks(open(P.path(name), "rb").read()))
     r = random.Random(1)
-    tokens = list(own.token.values())
+    tokens = list(own.ranks)
     for n in range(3000):
         piece = b"".join(r.choice(tokens) for _ in range(r.randrange(1, 6))) if n % 2 else bytes(r.randrange(256) for _ in range(r.randrange(1, 30)))
         if piece in own.ranks:
@@ -88,7 +88,6 @@ def test_packing_round_trip(bits):
 def test_token_files(spark):
     path = P.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     rows = []
     for i, text, *_ in documents():
         ids = [*lib.encode(text or "", add_special_tokens=False).ids, 2]
@@ -108,6 +107,34 @@ def test_token_files(spark):
     assert crcs == {(r["doc_id"], r["start"]): zlib.crc32(bytes(r["ids"])) for r in got}
 
 
+def test_added_tokens_are_those_of_the_library():
+    path = P.path("byte_bpe_50k.json")
+    lib, own = Tokenizer.from_file(path), packing.LibraryEncoder(open(path).read(), P.PATTERN, 16)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>'s  y", "<|endoftext|", "<|endoftext|>|>\n\n 12"):
+        assert np.frombuffer(own(text), "<u2").tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
+def test_files_of_a_hot_id_and_of_null_ids(spark):
+    rows = [(None if i % 3 else 7, f"text {i} of many", "en", "s", 1) for i in range(3000)] + [(i, "one", "en", "s", 1) for i in range(5)]
+    manifest = packing.write(frame(spark, rows), P.path("byte_bpe_50k.json"), P.PATTERN, 2, file_bytes=4000)
+    assert len(manifest) > 8 and max(m["n_docs"] for m in manifest) < 900
+    ids = [r["doc_id"] for r in packing.read(spark, manifest).orderBy("start").collect()]
+    assert ids == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+
+
+def test_ids_that_the_vocabulary_lacks(spark):
+    df = spark.createDataFrame([(1, bytearray(np.array([97, 60_000, 2**31, 98], "<u4").tobytes())), (2, None)], "doc_id long, ids binary")
+    token = {i: b for b, i in bpe.parse_ranks(open(MULTI, "rb").read()).items()}
+    assert {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(df, MULTI).collect()} == {1: token[97] + token[98], 2: b""}
+
+
+def test_caches_stay_within_their_bytes():
+    own = bpe.TextEncoder(lambda p: list(p.encode()), P.PATTERN, limit=200_000)
+    texts = [" ".join(f"w{i * 31 + k}" for k in range(50)) for i in range(200)]
+    want = [bpe.TextEncoder(lambda p: list(p.encode()), P.PATTERN)(t) for t in texts]
+    assert [own(t) for t in texts] == want and own.parts.size <= 200_000 and len(own.parts) + len(own.parts.old) < 2500
+
+
 def test_random_access(spark):
     manifest = packing.write(frame(spark), P.path("byte_bpe_50k.json"), P.PATTERN, 2)
     fs, name = packing._filesystem(manifest[0]["path"])

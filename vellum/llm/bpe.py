@@ -9,7 +9,9 @@ a position found hopeless is never tried again, which makes the time linear in t
 from __future__ import annotations
 
 import base64
-from itertools import chain
+import hashlib
+import sys
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -21,9 +23,12 @@ from .common import field, map_texts
 
 #: The vocabulary file is broadcast; a larger one is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Entries that the caches of a Python worker hold at most; a full cache starts anew.
-CACHE_ENTRIES = 400_000
-PAIR_ENTRIES = 1_000_000
+#: Bytes of a generation of a Python worker's cache of parts; there are two, and a quarter as much for pieces.
+CACHE_BYTES = 32 << 20
+#: Bytes that an entry takes besides the characters of its key and its value.
+ENTRY_BYTES = 200
+#: Memoised pairs of tokens; a full memo starts anew.
+PAIR_ENTRIES = 200_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -35,33 +40,52 @@ class BacktrackEncoder:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.token = {i: b for b, i in ranks.items()}
-        self.width = max(self.token) + 1
-        # A token that its own merges don't produce can only stand for a whole piece.
-        reachable = {b for b, i in ranks.items() if len(b) == 1 or self.merge(b) == [i]}
+        self.width = max(ranks.values()) + 1
         self.automaton = ahocorasick.Automaton()
-        self.length, self.shorter = {}, {}
-        for b in reachable:
-            i = ranks[b]
-            self.automaton.add_word(b.decode("latin-1"), i)
-            self.length[i] = len(b)
-            self.shorter[i] = next((ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in reachable), -1)
-        self.automaton.make_automaton()
+        #: By id: bytes of a token, its longest proper prefix that is a token (-1: none), and the two tokens that its last merge joins.
+        self.length, self.shorter, self.halves = {}, {}, {}
+        self.joined: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Plain merging, lowest rank first, leftmost on ties: for tokens and pairs of tokens only."""
-        parts, ranks = [piece[i : i + 1] for i in range(len(piece))], self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        for b, i in sorted(ranks.items(), key=lambda x: (len(x[0]) > 1, x[1])):
+            if self._learn(b, i):
+                self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
+        self.automaton.make_automaton()
+        for b, i in ranks.items():
+            if i in self.halves:
+                self.shorter[i] = next((ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if ranks.get(b[:n]) in self.halves), -1)
+
+    def _learn(self, b: bytes, i: int) -> bool:
+        """Finds the last merge of a token from tokens of lower rank; False if there is none, so that merges never make it."""
+        ranks, known = self.ranks, self.halves
+        if len(b) == 1:
+            known[i] = (i, i)
+        for n in range(len(b) - 1, 0, -1):
+            a, rest = ranks.get(b[:n]), ranks.get(b[n:])
+            if a in known and rest in known and self._compatible(a, rest):
+                known[i] = (a, rest)
+                self.joined[a * self.width + rest] = i
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        self.length[i] = len(b)
+        return i in known
+
+    def _compatible(self, a: int, b: int) -> bool:
+        """Whether merging keeps the border between tokens a and b.
+
+        Merges are undone from the latest on, beside the border: had two of the tokens met there been joined before a later
+        merge of either side, the border would be gone.
+        """
+        joined, halves, width, limit = self.joined, self.halves, self.width, 1 << 62
+        while True:
+            if joined.get(a * width + b, limit) < limit:
+                return False
+            # A single byte is its own half and can't be undone.
+            one, two = halves[a][1], halves[b][0]
+            if one != a and (a > b or two == b):
+                limit, a = a, one
+            elif two != b:
+                limit, b = b + 1, two
+            else:
+                return True
 
     def fits(self, a: int, b: int) -> bool:
         key = a * self.width + b
@@ -69,7 +93,7 @@ class BacktrackEncoder:
         if known is None:
             if len(self.pairs) >= PAIR_ENTRIES:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merge(self.token[a] + self.token[b]) == [a, b]
+            known = self.pairs[key] = self._compatible(a, b)
         return known
 
     def encode(self, piece: bytes) -> list[int]:
@@ -78,11 +102,10 @@ class BacktrackEncoder:
         if whole is not None:
             return [whole]
         n, length, shorter = len(piece), self.length, self.shorter
+        # Matches come by their ends, so that the last one seen from a start is the longest.
         longest = [-1] * n
-        for end, i in self.automaton.iter(piece.decode("latin-1")):
-            start = end - length[i] + 1
-            if longest[start] < 0 or length[longest[start]] < length[i]:
-                longest[start] = i
+        for end, (i, size) in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - size + 1] = i
         tokens: list[int] = []
         dead, at, take = bytearray(n + 1), 0, longest[0] if n else -1
         while at < n:
@@ -106,47 +129,75 @@ class Unsafe(Exception):
     """A text that can't be cut before each of its spaces."""
 
 
-class PartCache(dict):
+class Cache(dict):
+    """Values by key, in two generations of at most `limit` bytes each: a full one becomes the old one, from which what is used again comes back."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.most, self.size, self.old = limit, limit // 64, 0, {}
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        cost = 4 * len(key) + len(value) + ENTRY_BYTES
+        if cost <= self.most:
+            self.size += cost
+            if self.size > self.limit:
+                self.old = dict(self)
+                self.clear()
+                self.size = cost
+            self[key] = value
+        return value
+
+
+class PieceCache(Cache):
+    """Packed ids of a piece."""
+
+    def __init__(self, encode, code: str, limit: int) -> None:
+        super().__init__(limit)
+        self.encode, self.code = encode, code
+
+    def __missing__(self, piece: str) -> bytes:
+        known = self.old.get(piece)
+        return self.keep(piece, self.pack(piece) if known is None else known)
+
+    def pack(self, piece: str) -> bytes:
+        return array(self.code, self.encode(piece)).tobytes()
+
+
+class PartCache(Cache):
     """Packed ids of a space and the text up to the next one.
 
     A space with something other than white space behind it always begins a match of the pattern, so that a text can be
     cut there; a part that is empty or begins with white space tells that this isn't so.
     """
 
-    def __init__(self, pieces: dict, pattern: regex.Pattern) -> None:
-        self.pieces, self.pattern = pieces, pattern
+    def __init__(self, pieces: PieceCache, pattern: regex.Pattern, limit: int) -> None:
+        super().__init__(limit)
+        self.pieces, self.findall = pieces, pattern.findall
 
     def __missing__(self, part: str) -> bytes:
-        if not part or self.pattern.match(part[0]) is None or part[0].isspace() or part[0] in "\x85᠎":
-            raise Unsafe
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        packed = self[part] = b"".join([self.pieces[p] for p in self.pattern.findall(" " + part)])
-        return packed
-
-
-class PieceCache(dict):
-    """Packed ids (little-endian unsigned 32-bit) of a piece."""
-
-    def __init__(self, encode) -> None:
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        packed = np.array(self.encode(piece), dtype="<u4").tobytes()
-        if len(piece) < 64:
-            self[piece] = packed
-        return packed
+        packed = self.old.get(part)
+        if packed is None:
+            if part.isalpha():
+                packed = self.pieces.pack(" " + part)
+            else:
+                first, *rest = self.findall(" " + part)
+                if len(first) < 2 or first[1].isspace() or first[1] in "\x85᠎":
+                    raise Unsafe
+                packed = b"".join([self[first[1:]], *map(self.pieces.__getitem__, rest)]) if rest else self.pieces.pack(first)
+        return self.keep(part, packed)
 
 
 class TextEncoder:
-    """Whole texts to packed ids, with caches of bounded size over an encoder of pieces."""
+    """Whole texts to packed little-endian ids, with caches of bounded bytes over an encoder of pieces.
 
-    def __init__(self, encode_piece, pattern: str) -> None:
+    code: array's type code of an id, I (32 bits) or H (16 bits).
+    """
+
+    def __init__(self, encode_piece, pattern: str, code: str = "I", limit: int = CACHE_BYTES) -> None:
+        if sys.byteorder != "little":
+            raise NotImplementedError("ids are packed in the machine's byte order, which must be little-endian")
         self.pattern = regex.compile(pattern)
-        self.pieces = PieceCache(encode_piece)
-        self.parts = PartCache(self.pieces, self.pattern)
+        self.pieces = PieceCache(encode_piece, code, limit // 4)
+        self.parts = PartCache(self.pieces, self.pattern, limit)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -159,16 +210,33 @@ class TextEncoder:
         return b"".join([self.pieces[p] for p in self.pattern.findall(first)]) + tail
 
 
-_ENCODERS: dict[int, TextEncoder] = {}
+class Decoder:
+    """The bytes of ids; an id that the vocabulary lacks stands for nothing."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.table = [b""] * (max(ranks.values(), default=-1) + 1)
+        for b, i in ranks.items():
+            self.table[i] = b
+
+    def __call__(self, packed: bytes | None) -> bytes:
+        ids = np.frombuffer(packed or b"", dtype="<u4")
+        if len(ids) and int(ids.max()) >= len(self.table):
+            ids = ids[ids < len(self.table)]
+        return b"".join(map(self.table.__getitem__, ids.tolist()))
+
 
+_READY: dict[str, tuple[TextEncoder, Decoder]] = {}
 
-def _text_encoder(data: bytes, pattern: str) -> TextEncoder:
-    key = hash((data, pattern))
-    if key not in _ENCODERS:
-        bpe = BacktrackEncoder(parse_ranks(data))
-        _ENCODERS.clear()
-        _ENCODERS[key] = TextEncoder(lambda piece: bpe.encode(piece.encode()), pattern)
-    return _ENCODERS[key]
+
+def _coders(data: bytes, pattern: str) -> tuple[TextEncoder, Decoder]:
+    """One pair a Python worker: both share the vocabulary's bytes."""
+    key = hashlib.sha256(data + pattern.encode()).hexdigest()
+    if key not in _READY:
+        _READY.clear()
+        ranks = parse_ranks(data)
+        bpe = BacktrackEncoder(ranks)
+        _READY[key] = TextEncoder(lambda piece: bpe.encode(piece.encode()), pattern), Decoder(ranks)
+    return _READY[key]
 
 
 def _vocabulary(spark: SparkSession, path: str):
@@ -188,33 +256,43 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     data = _vocabulary(df.sparkSession, path)
 
     def setup():
-        one = _text_encoder(data.value, pattern)
+        one, _ = _coders(data.value, pattern)
         return lambda texts: [[one(t) for t in texts]]
 
     return map_texts(df, id_col, text_col, setup, [field("ids", "binary")])
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Rows (id, ids, decoded binary): the bytes that the ids stand for. Null or empty ids give empty bytes."""
+    """Rows (id, ids, decoded binary): the bytes that the ids stand for.
+
+    Null or empty ids give empty bytes; ids that the vocabulary lacks stand for nothing.
+    """
+    data = _vocabulary(df.sparkSession, path)
+
+    def setup():
+        one = Decoder(parse_ranks(data.value))
+        return lambda rows: [rows, [one(r) for r in rows]]
+
+    return map_texts(df, id_col, ids_col, setup, [field(ids_col, "binary"), field("decoded", "binary")])
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, ids binary, decoded binary): encode(), then decode() of its ids, in one pass of one Python worker."""
     data = _vocabulary(df.sparkSession, path)
 
     def setup():
-        token = {i: b for b, i in parse_ranks(data.value).items()}
-        table = [token.get(i, b"") for i in range(max(token) + 1)]
+        one, back = _coders(data.value, pattern)
 
-        def work(rows):
-            return [rows, [b"".join(map(table.__getitem__, np.frombuffer(r or b"", dtype="<u4").tolist())) for r in rows]]
+        def work(texts):
+            ids = [one(t) for t in texts]
+            return [ids, [back(i) for i in ids]]
 
         return work
 
-    return map_texts(df, id_col, ids_col, setup, [field(ids_col, "binary"), field("decoded", "binary")])
+    return map_texts(df, id_col, text_col, setup, [field("ids", "binary"), field("decoded", "binary")])
 
 
 def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encoded, then decoded: counts and digests of both."""
-    both = decode(encode(df, path, pattern, id_col, text_col), path, id_col)
+    both = round_trip(df, path, pattern, id_col, text_col)
     return both.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-def as_list(packed: bytes) -> list[int]:
-    return list(chain(np.frombuffer(packed, dtype="<u4").tolist()))

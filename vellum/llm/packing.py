@@ -9,10 +9,13 @@ Layout: magic, blocks, footer (bits, counts, block offsets, document ids, null f
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
+import re
 import struct
 import uuid
-import zlib
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,16 +32,25 @@ MAGIC = b"VTB1"
 BLOCK = 1 << 15
 #: Text bytes whose ids go to one file.
 FILE_BYTES = 16 << 20
+#: Bytes of a generation of a Python worker's cache of parts of texts.
+CACHE_BYTES = 112 << 20
+#: Files at most, and rows for each of them that decide where files begin.
+MAX_FILES = 1 << 16
+SAMPLED = 200
 MAX_VOCABULARY_BYTES = 64 << 20
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """ids (unsigned 32-bit) in `bits` bits each, lowest bit first, the last byte filled with zeros."""
+    """ids in `bits` bits each, lowest bit first, the last byte filled with zeros."""
+    if bits in (8, 16, 32):
+        return np.ascontiguousarray(ids, dtype=f"<u{bits // 8}").tobytes()
     flat = np.unpackbits(np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     return np.packbits(flat[:, :bits], bitorder="little").tobytes()
 
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}", n).astype("<u4")
     flat = np.unpackbits(np.frombuffer(data, dtype=np.uint8), bitorder="little", count=n * bits).reshape(n, bits)
     wide = np.zeros((n, 32), dtype=np.uint8)
     wide[:, :bits] = flat
@@ -154,35 +166,79 @@ class LibraryPieces:
         split = plain.get("pre_tokenizer") or {}
         if plain.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
             raise ValueError("a byte-level tokenizer without normalizer and prefix space is expected")
+        if any(t.get(k) for t in plain.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that look at their surroundings aren't known")
         self.tokenizer = Tokenizer.from_str(config)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # the library's own cache is full of the first words; ours follows what is used
+        #: Strings that the library takes out of a text before it splits the rest.
+        self.added = {t["content"]: t["id"] for t in plain.get("added_tokens") or []}
         self.largest = max(self.tokenizer.get_vocab().values())
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.table = {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+        self.space = self.table[32]
 
     def __call__(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
+        plain = piece.replace(" ", self.space) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.table)
+        return [t.id for t in self.model.tokenize(plain)]
 
 
-_READY: dict[int, tuple[TextEncoder, int]] = {}
+class LibraryEncoder:
+    """Packed ids of whole texts as the library encodes them, with its added tokens' ids for their strings."""
 
+    def __init__(self, config: str, pattern: str, bits: int) -> None:
+        pieces = LibraryPieces(config)
+        self.code = _code(bits)
+        self.text = TextEncoder(pieces, pattern, self.code, CACHE_BYTES)
+        self.added = {k: array(self.code, [i]).tobytes() for k, i in pieces.added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
-def _library(config: str, pattern: str) -> TextEncoder:
-    key = hash((config, pattern))
+    def __call__(self, text: str | None) -> bytes:
+        if not text or not any(k in text for k in self.added):
+            return self.text(text)
+        return b"".join([self.added[x] if x in self.added else self.text(x) for x in self.cut.split(text)])
+
+
+def _code(bits: int) -> str:
+    return "H" if bits <= 16 else "I"
+
+
+_READY: dict[str, LibraryEncoder] = {}
+
+
+def _library(config: str, pattern: str, bits: int) -> LibraryEncoder:
+    key = hashlib.sha256(f"{bits}\n{pattern}\n{config}".encode()).hexdigest()
     if key not in _READY:
         _READY.clear()
-        _READY[key] = TextEncoder(LibraryPieces(config), pattern)
+        _READY[key] = LibraryEncoder(config, pattern, bits)
     return _READY[key]
 
 
+def _bounds(rows: DataFrame, files: int) -> list[tuple]:
+    """At most files - 1 rising pairs (id is known, id, h), each the first of a file; rows: (id, h).
+
+    They come from Spark's range partitioning of a part of the rows, chosen by hash. The part only decides how even the files
+    are, never what is in them.
+    """
+    if files < 2:
+        return []
+    part = max(1, rows.count() // (files * SAMPLED))
+    some = rows.where(F.pmod(F.xxhash64("id", "h"), F.lit(part)) == 0)
+    order = F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"), "h")
+    ranged = some.select(order.alias("x")).repartitionByRange(files, "x")
+    firsts = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min("x").alias("x")).select("x.*").collect()
+    return sorted({(r["known"], r["id"], r["h"]) for r in firsts})[1:]
+
+
 def write(df: DataFrame, path: str, pattern: str, end_id: int, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> list[dict]:
     """Writes the ids of every text, `end_id` behind each, in ascending order of id; returns a manifest entry per file.
 
-    Null ids come first; rows with the same id come in order of their ids' bytes. A null or empty text has the end id
-    alone. An empty table gives no file. Each file is written under another name and then moved, so that a task that
-    runs twice does no harm. The manifest has one short entry for each `file_bytes` of text.
+    Null ids come first; rows with the same id come in order of a hash of their texts, so that an id that very many rows
+    share spreads over files too. A null or empty text has the end id alone. An empty table gives no file. Each file is
+    written under another name and then moved, so that a task that runs twice does no harm. The manifest has one short
+    entry for each `file_bytes` of text, and MAX_FILES at most: beyond, files are larger. Other columns aren't read.
     """
     spark = df.sparkSession
     with open(path, encoding="utf-8") as f:
@@ -190,23 +246,21 @@ def write(df: DataFrame, path: str, pattern: str, end_id: int, out: str | None =
     if len(config) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"{path} has more than {MAX_VOCABULARY_BYTES} bytes")
     bits = max(LibraryPieces(config).largest, end_id).bit_length()
+    code, kind = _code(bits), "<u2" if _code(bits) == "H" else "<u4"
     shared, out = spark.sparkContext.broadcast(config), out or f"{shared_dir(spark)}/tokens"
-    files = max(1, -(-total_bytes(df, text_col) // file_bytes))
-    bounds: list[int] = []
-    if files > 1:
-        cuts = df.agg(F.percentile_approx(id_col, [i / files for i in range(1, files)], 20 * files).alias("q")).first()["q"]
-        bounds = sorted({int(x) for x in cuts or []})
+    files = min(MAX_FILES, max(1, -(-total_bytes(df, text_col) // file_bytes)))
+    plain = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    edges = _bounds(plain.select("id", "h"), files)
 
     def encode(batches):
-        one = _library(shared.value, pattern)
-        edges = np.array(bounds, dtype=np.int64)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        one = _library(shared.value, pattern, bits)
+        end = array(code, [end_id]).tobytes()
         for batch in batches:
-            for lo, hi in chunks(batch.column(1)):
-                ids = batch.column(0).slice(lo, hi - lo).cast(pa.int64())
-                whole = [np.frombuffer(one(t) + end, dtype="<u4") for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                part = [0 if i is None else 1 + int(np.searchsorted(edges, i, "left")) for i in ids.to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), ids, pa.array([len(w) for w in whole], pa.int64()), pa.array([pack(w, bits) for w in whole], pa.binary())], names=["part", "id", "n", "packed"])
+            for lo, hi in chunks(batch.column(2)):
+                ids, h = (batch.column(i).slice(lo, hi - lo).cast(pa.int64()) for i in (0, 1))
+                whole = [one(t) + end for t in batch.column(2).slice(lo, hi - lo).to_pylist()]
+                part = [bisect_right(edges, (i is not None, i or 0, x)) for i, x in zip(ids.to_pylist(), h.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), ids, h, pa.array(whole, pa.binary())], names=["part", "id", "h", "ids"])
 
     def save(batches):
         fs, root = _filesystem(out)
@@ -222,19 +276,19 @@ def write(df: DataFrame, path: str, pattern: str, end_id: int, out: str | None =
                 done.append((current, len(writer.ids), sum(writer.lengths)))
 
         for batch in batches:
-            for lo, hi in chunks(batch.column(3)):
-                for part, doc_id, n, packed in zip(*(batch.column(i).slice(lo, hi - lo).to_pylist() for i in range(4)), strict=True):
+            for lo, hi in chunks(batch.column(2)):
+                for part, doc_id, ids in zip(*(batch.column(i).slice(lo, hi - lo).to_pylist() for i in range(3)), strict=True):
                     if part != current:
                         finish()
                         current, name = part, posixpath.join(root, f".{part}-{uuid.uuid4().hex}")
                         writer = TokenFileWriter(fs.open_output_stream(name), bits)
-                    writer.add(doc_id, unpack(packed, n, bits))
+                    writer.add(doc_id, np.frombuffer(ids, kind))
         finish()
-        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["part", "n_docs", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["part", "n_docs", "n_tokens"])
 
-    encoded = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, "part int, id long, n long, packed binary")
-    ordered = encoded.repartition(files + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("id"), "packed")
-    rows = sorted(ordered.mapInArrow(save, "part int, n_docs long, n_tokens long").collect())
+    encoded = plain.mapInArrow(encode, "part int, id long, h long, ids binary")
+    ordered = encoded.repartition(files + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("id"), "h", "ids")
+    rows = sorted(ordered.select("part", "id", "ids").mapInArrow(save, "part int, n_docs long, n_tokens long").collect())
     start, manifest = 0, []
     for part, n_docs, n_tokens in rows:
         manifest.append({"path": f"{out.rstrip('/')}/part-{part:08d}.vtb", "start": start, "n_docs": n_docs, "n_tokens": n_tokens})
@@ -273,7 +327,3 @@ def round_trip(df: DataFrame, path: str, pattern: str, end_id: int, id_col: str
     """Rows (id, start, n_tokens, ids_crc32 long) from files written for df. spark's crc32 is the same unsigned one as zlib's."""
     manifest = write(df, path, pattern, end_id, id_col=id_col, text_col=text_col)
     return read(df.sparkSession, manifest, id_col).select(id_col, "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def crc(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
