@@ -219,14 +219,15 @@ def _library(config: str, pattern: str, bits: int) -> LibraryEncoder:
 def _bounds(rows: DataFrame, files: int) -> list[tuple]:
     """At most files - 1 rising pairs (id is known, id, h), each the first of a file; rows: (id, h).
 
-    They come from Spark's range partitioning of a part of the rows, chosen by hash. The part only decides how even the files
-    are, never what is in them.
+    They come from Spark's range partitioning of a part of the rows. The part only decides how even the files are, never what
+    is in them. h, which takes a pass over all texts, is looked at only where some id has more rows than a file.
     """
     if files < 2:
         return []
-    part = max(1, rows.count() // (files * SAMPLED))
-    some = rows.where(F.pmod(F.xxhash64("id", "h"), F.lit(part)) == 0)
-    order = F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"), "h")
+    some = rows.sample(min(1.0, files * SAMPLED / max(1, rows.count())), seed=1)
+    hot = not some.groupBy("id").count().where(F.col("count") > SAMPLED).isEmpty()
+    least = F.col("h") if hot else F.lit(-(1 << 63)).cast("long")
+    order = F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"), least.alias("h"))
     ranged = some.select(order.alias("x")).repartitionByRange(files, "x")
     firsts = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min("x").alias("x")).select("x.*").collect()
     return sorted({(r["known"], r["id"], r["h"]) for r in firsts})[1:]
