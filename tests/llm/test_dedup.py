@@ -267,3 +267,22 @@ def test_similarity_at_the_limit(spark):
     got = jaccard.keep_first(frame(spark, [(*r, "en", "s", 1) for r in rows])).collect()
     assert sorted(r["doc_id"] for r in got) == [1, 3, 4]
     assert jaccard.keep_first(frame(spark, rows[:0])).count() == 0
+
+
+def test_shingles_are_ordered_by_all_rows_that_have_them(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in r.integers(0, 3, int(r.integers(5, 30)))), "en", "s", 1) for i in range(400)]
+    every = {}
+    for _, text, *_ in rows:
+        for s in jaccard.shingles(text.encode()).tolist():
+            every[s] = every.get(s, 0) + 1
+    df = frame(spark, rows)
+    for buckets in (1, 7):
+        place, n, known = jaccard.frequencies(df, "text", 5, 4, buckets)
+        order = np.array(sorted(every))
+        want = dict(zip(jaccard.places(order, buckets).tolist(), map(every.get, order.tolist()), strict=True))
+        assert known == buckets and dict(zip(place.tolist(), n.tolist(), strict=True)) == {p: c for p, c in want.items() if c >= 4}
+    keyed = df.selectExpr("doc_id as _vellum_key", "text")
+    for row in jaccard.signatures(keyed, "text", 5, (4, 5), jaccard.frequencies(df, "text", 5, 1)).collect():
+        s = jaccard.shingles(rows[row[0]][1].encode()).tolist()
+        assert row["prefix"] == sorted(s, key=lambda x: (every[x], x))[: len(s) - -(-4 * len(s) // 5) + 1]
