@@ -286,3 +286,26 @@ def test_shingles_are_ordered_by_all_rows_that_have_them(spark):
     for row in jaccard.signatures(keyed, "text", 5, (4, 5), jaccard.frequencies(df, "text", 5, 1)).collect():
         s = jaccard.shingles(rows[row[0]][1].encode()).tolist()
         assert row["prefix"] == sorted(s, key=lambda x: (every[x], x))[: len(s) - -(-4 * len(s) // 5) + 1]
+
+
+def test_pairs_formed_follow_the_size_of_a_cluster(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    word = lambda: "w" + str(r.integers(0, 50_000))
+    base = [word() for _ in range(200)]
+    rows = [(0, " ".join(base), "en", "s", 1)]
+    for i in range(1, 121):
+        copy = list(base)
+        for p in r.integers(0, 200, 1 + i % 3).tolist():
+            copy[p] = word()
+        rows.append((i, " ".join(copy), "en", "s", 1))
+    formed, stored = {}, jaccard.stored
+
+    def counted(df, name, *rest):
+        out = stored(df, name, *rest)
+        formed[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    assert [x["doc_id"] for x in jaccard.keep_first(frame(spark, rows)).collect()] == [0]
+    # All with all were 7,260 pairs.
+    assert formed.get("stars", 0) + formed["candidates"] < 600
