@@ -191,6 +191,31 @@ def test_contamination(spark, part):
     assert decontam.clean(frame(spark, rows), bench, part_bytes=part).count() == sum(not w[-1] for w in want)
 
 
+@pytest.mark.parametrize("part", [decontam.PART_BYTES, 4000])
+def test_a_passage_in_a_long_document_is_found_by_the_stage(spark, part):
+    import corpus_pipeline
+
+    words = [f"b{i}" for i in range(1500)]
+    long = [f"w{i}" for i in range(2000)]
+    items = [(i, " ".join(words[30 * i : 30 * i + 30])) for i in range(50)] + [(50, "two words")]
+    rows = [
+        (1, " ".join(long[:900] + words[33:46] + long[900:])),
+        (2, " ".join(long[:900] + words[33:45] + long[900:])),
+        (3, " ".join(long[:100] + ["two", "words"] + long[100:])),
+        (4, " ".join(["two", "words"] * 5 + long[:150])),
+    ]
+    docs, bench = frame(spark, [(*r, "en", "s", 1) for r in rows]), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontam.clean(docs, bench, part_bytes=part, passages=True).collect()) == [2, 3]
+    assert sorted(r["doc_id"] for r in decontam.clean(docs, bench, part_bytes=part).collect()) == [1, 2, 3]
+    if part != decontam.PART_BYTES:
+        return
+    held, corpus_pipeline.load = corpus_pipeline.load, lambda *_: bench
+    try:
+        assert sorted(r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs, "").collect()) == [2, 3]
+    finally:
+        corpus_pipeline.load = held
+
+
 def test_matches_at_every_offset():
     r = random.Random(6)
     words = [f"w{i}".encode() for i in range(60)]
