@@ -120,6 +120,30 @@ def test_halves_by_id_find_every_smaller_document():
         assert starts.tolist() == [p for p in range(len(t) - 49) if first[bytes(t[p : p + 50])] < i]
 
 
+def test_windows_that_were_found_are_not_indexed_again(monkeypatch):
+    rng = np.random.default_rng(4)
+    core = rng.integers(97, 123, 70).astype(np.uint8)
+    view = windows.View(50, 24, False, False, 1 << 20)
+    mid = int(windows.gram_hashes(core[20:44], view)[0])
+    # Copies cut at both ends, so that segments differ but windows don't.
+    cuts = [(int(rng.integers(0, 10)), 70 - int(rng.integers(0, 10))) for _ in range(256)]
+    texts = [core[a:b] for a, b in cuts]
+    indexed, plain = [0], runindex.RunLengthIndex.__init__
+
+    def counted(self, texts, *rest):
+        indexed[0] += sum(map(len, texts))
+        plain(self, texts, *rest)
+
+    monkeypatch.setattr(runindex.RunLengthIndex, "__init__", counted)
+    got = runindex._index(windows.Candidates(view, [mid] * 256, texts, [(i, 0, 0, 0) for i in range(256)]))
+    seen: set[int] = set()
+    for (a, b), starts in zip(cuts, got, strict=True):
+        assert starts.tolist() == [p - a for p in range(a, b - 49) if p in seen]
+        seen |= set(range(a, b - 49))
+    # Half of all at each of eight levels before.
+    assert indexed[0] < 2 * sum(map(len, texts))
+
+
 def test_words_whose_polynomial_hashes_are_equal_are_told_apart(spark):
     # Thue-Morse words of 2**12 letters collide under any odd base modulo 2**64.
     a = "a"
