@@ -320,6 +320,32 @@ def test_the_generators_propose_all_labelled_credentials(spark):
     assert len(got) > 500 and all(r["hit"] for r in got)
 
 
+def test_every_pattern_is_matched_once_a_text_and_every_feature_once_a_candidate(spark):
+    key = "spark.sql.debug.maxToStringFields"
+    held = spark.conf.get(key)
+    spark.conf.set(key, 100_000)
+    try:
+        plan = pii.digests(spark.createDataFrame([], SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(key, held)
+    for pattern in [*pii._BASE.values(), *pii._GENERATORS.values()]:
+        assert plan.count(f", {pattern}, 0)") == 1 and plan.count(f", {pattern}, -1)") == 1
+    for pattern in (pii._NEAR_SECRET, pii._NEAR_CONTACT):
+        assert plan.count(pattern) == len(pii._GENERATORS)
+
+
+def test_candidates_of_long_texts_against_brute_force(spark):
+    r = random.Random(12)
+    word = lambda k, s="abcdefghijklmnop": "".join(r.choice(s) for _ in range(k))
+    make = [lambda: word(14), lambda: word(20, "abcXYZ0123456789"), lambda: "🙂é" + word(3), lambda: "password=" + word(13), lambda: 'token: "' + word(32, "0123456789abcdef") + '"', lambda: word(5) + "."]
+    texts = [" ".join(r.choice(make)() for _ in range(n)) for n in (3, 300, 1500)]
+    trees, cut = pii.models()["secret"]
+    for text, got in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").transform(pii.spans).select("text", "pii.secret").collect():
+        found = re.finditer(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}", text)
+        want = [(m.start(), m.end(), m.group()) for m in found if trees.probability(pii.features_of(m.group(), text[max(m.start() - pii.CONTEXT, 0) : m.start()])) >= cut]
+        assert list(map(tuple, got)) == want and len(want) > len(text) // 100
+
+
 @pytest.mark.parametrize("run", [quality.verdicts, quality.filtered, pii.digests, pii.redacted])
 def test_empty(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Callable
 from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -47,31 +48,43 @@ _NEAR_SECRET = r"(?i)(?:password|passwd|pwd|secret|token|api[_ -]?key|access[_ -
 _NEAR_CONTACT = r"(?i)(?:tel|phone|mobile|fax|ssn|passport|iban|social security)[^\n]{0,8}$"
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """array<struct<start,end int, match string>> of a pattern's matches, in code points.
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), which is evaluated once, however often and in whatever lambda `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _spans(text: Column, pattern: str, context: int = 0) -> Column:
+    """array<struct<start,end int, match string>> of a pattern's matches, in code points; with a context also `before`, as many characters before each.
 
     Matches and what lies between them alternate, so that positions are running sums of their lengths. They are summed
     in steps, a step's start being the sum of those before, which keeps a text of very many matches from copying its
     list for each.
     """
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    row = "struct<start:int,end:int,match:string>"
-    inner = f"struct<at:int,out:array<{row}>>"
-    outer = f"struct<at:int,out:array<array<{row}>>>"
+    row = f"struct<start:int,end:int,match:string{',before:string' if context else ''}>"
+    tail = ",tail:string" if context else ""
+    inner = f"struct<at:int,out:array<{row}>{tail}>"
+    outer = f"struct<at:int,out:array<array<{row}>>{tail}>"
+    last = lambda *parts: F.substring(F.concat(*parts), -context, context)
 
     def one(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.char_length(p["gap"])
-        end = start + F.char_length(p["match"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), p["match"].alias("match"))).alias("out")).cast(inner)
+        found = [start.alias("start"), (start + F.char_length(p["match"])).alias("end"), p["match"].alias("match")]
+        if context:
+            found.append(last(acc["tail"], p["gap"]).alias("before"))
+        return _once(F.struct(*found), lambda s: F.struct(s["end"].alias("at"), F.array_append(acc["out"], s).alias("out"), *([last(s["before"], s["match"]).alias("tail")] if context else [])).cast(inner))
 
-    def step(all_: Column, acc: Column, k: Column) -> Column:
-        part = F.slice(all_, k * STEP + 1, F.lit(STEP))
-        done = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(f"array<{row}>").alias("out")).cast(inner), one)
-        return F.struct(done["at"].alias("at"), F.array_append(acc["out"], done["out"]).alias("out")).cast(outer)
+    def step(pairs: Column, acc: Column, k: Column) -> Column:
+        held = [acc["at"].alias("at"), F.array().cast(f"array<{row}>").alias("out"), *([acc["tail"].alias("tail")] if context else [])]
+        done = F.aggregate(F.slice(pairs, k * STEP + 1, F.lit(STEP)), F.struct(*held).cast(inner), one)
+        return _once(done, lambda d: F.struct(d["at"].alias("at"), F.array_append(acc["out"], d["out"]).alias("out"), *([d["tail"].alias("tail")] if context else [])).cast(outer))
 
-    steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(pairs) / STEP).cast("int") - 1, F.lit(0)))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{row}>>").alias("out")).cast(outer)
-    return F.flatten(F.aggregate(steps, zero, lambda acc, k: step(pairs, acc, k))["out"])
+    def positions(pairs: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(pairs) / STEP).cast("int") - 1, F.lit(0)))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{row}>>").alias("out"), *([F.lit("").alias("tail")] if context else [])).cast(outer)
+        return F.flatten(F.aggregate(steps, zero, lambda acc, k: step(pairs, acc, k))["out"])
+
+    pairs = _once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(m)).alias("gap"), m.alias("match")))
+    return _once(pairs, positions)
 
 
 def _digits(match: Column) -> Column:
@@ -216,12 +229,14 @@ def _added(text: Column, kind: str, taken: Column) -> Column:
     sign = r"[A-Za-z0-9_+/-]{12}|[=:][\x20\t]?[\"']?[A-Za-z0-9_+/-]" if kind == "secret" else r"[0-9][\x20().0-9-]{6}"
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
-    def good(s: Column) -> Column:
-        lo = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        features = _features(s["match"], F.substring(text, lo + 1, s["start"] - lo))
-        return ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])) & (trees.column(features, FEATURES) >= F.lit(cut))
+    def chosen(taken: Column) -> Column:
+        def good(s: Column) -> Column:
+            apart = ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+            return apart & _once(_features(s["match"], s["before"]), lambda f: trees.column(f, FEATURES) >= F.lit(cut))
+
+        return F.transform(F.filter(_spans(text, _GENERATORS[kind], CONTEXT), good), lambda s: F.struct(*(s[k].alias(k) for k in ("start", "end", "match"))))
 
-    return F.when(text.rlike(sign), F.filter(_spans(text, _GENERATORS[kind]), good)).otherwise(empty)
+    return F.when(text.rlike(sign), _once(taken, chosen)).otherwise(empty)
 
 
 def _joined(kind: str, spans: Column) -> Column:
