@@ -303,6 +303,42 @@ def test_every_labelled_document_is_in_domain(spark):
     assert {(bytes(r["term"]).decode(), r["n"], r["n_in"]) for r in counts} == {(f"w{i}", n // 10 + 50, n // 10) for i in range(10)}
 
 
+def shuffled_bytes(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_scores_leave_the_texts_where_they_are(spark):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(200)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(200)), "en", "s", 1) for i in range(2000)]
+    df, labels = spark.createDataFrame(rows, SCHEMA), spark.range(2000).selectExpr("id as doc_id", "int(id % 2) as quality", "0 as toxic")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(key)
+    spark.conf.set(key, -1)  # as for labels of any size
+    try:
+        before = shuffled_bytes(spark)
+        assert compression.compression_scores(df, labels).count() == 2000
+        assert 0 < shuffled_bytes(spark) - before < 200_000 < sum(len(x[1]) for x in rows) / 10
+    finally:
+        spark.conf.set(key, held)
+
+
+@pytest.mark.parametrize(("kind", "bitmaps"), [("long", 16_384), ("int", 16_384), ("string", 16_384), ("long", 2)])
+def test_flags_of_any_ids(spark, monkeypatch, kind, bitmaps):
+    monkeypatch.setattr(compression, "BITMAPS", bitmaps)
+    some = [None, 0, 1, -1, 7, 8, 32_767, 32_768, 32_769, -32_767, -32_768, -32_769, 100_000, 2**31 - 1, -(2**31)] + [2**62, 2**63 - 1, -(2**63)] * (kind != "int")
+    ids = [x for x in some if x is not None]
+    df = spark.createDataFrame([(x, "t") for x in some + some[:5]], "doc_id long, _bits string").select(F.col("doc_id").cast(kind), "_bits")
+    for mine in (ids, ids[::2], ids[1::2], []):
+        got = compression.flagged(df, spark.createDataFrame([(x,) for x in mine], "doc_id long"), "_in")
+        assert got.columns == ["doc_id", "_bits", "_in"]
+        want = [(None if x is None else str(x), x in mine) for x in some + some[:5]]
+        assert sorted(map(str, ((None if x is None else str(x), bool(y)) for x, _, y in got.collect()))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("word", ["correcthorsebattery", "QwErTyUiOpAsDfGhJk", "hunter2x", "Sesame"])
 def test_credentials_without_digits_or_of_few_characters(spark, word):
     texts = [f"My password={word} is old", f'the token: "{word}" too']

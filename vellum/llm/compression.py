@@ -13,13 +13,16 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import chunks, field, map_texts, stored
+from .common import chunks, field, map_texts, stored, unused
 
 DICTIONARY_BYTES = 110 << 10
 LEVEL = 3
 #: Distinct terms that a Python worker holds before it passes its counts on.
 TERMS = 200_000
+#: Bitmaps of 32,768 ids, of 4 KB each, that are broadcast at most.
+BITMAPS = 16_384
 
 
 def term_counts(df: DataFrame, domain_col: str, text_col: str = "text") -> DataFrame:
@@ -110,12 +113,31 @@ def in_domain_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(id_col).where(F.col(id_col).isNotNull()).distinct()
 
 
+def flagged(df: DataFrame, ids: DataFrame, flag: str, id_col: str = "doc_id") -> DataFrame:
+    """df with a boolean column `flag`: whether its id is one of `ids`, which are distinct; null for an id that isn't.
+
+    Whole numbers become bitmaps, which are broadcast, so that df stays where it is at any size: a bit for each number in
+    their range. Other ids, and numbers so far apart that they fill more than BITMAPS, are joined as they are.
+    """
+    if all(isinstance(x.schema[id_col].dataType, T.IntegralType) for x in (df, ids)):
+        number, bits = unused("number", df), unused("bits", df)
+        bucket = lambda x: F.bitmap_bucket_number(x[id_col].cast("long"))
+        numbers = ids.select(bucket(ids).alias(number), F.bitmap_bit_position(ids[id_col].cast("long")).alias(bits))
+        if numbers.select(number).distinct().limit(BITMAPS + 1).count() <= BITMAPS:
+            maps = numbers.repartition(number).groupBy(number).agg(F.bitmap_construct_agg(bits).alias(bits))
+            at = F.bitmap_bit_position(F.col(id_col).cast("long"))
+            byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+            found = df.join(F.broadcast(maps), bucket(df) == maps[number], "left")
+            return found.select(*(df[c] for c in df.columns), (F.getbit(byte, (at % 8).cast("int")) == 1).alias(flag))
+    return df.join(ids.withColumn(flag, F.lit(True)), id_col, "left")
+
+
 def compression_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """sizes() under dictionaries of df itself; the in-domain documents are all those of in_domain_ids().
 
     An empty table has no rows; without any labelled document the in-domain dictionary is empty.
     """
-    ids = in_domain_ids(labels, id_col).withColumn("_in", F.lit(True))
-    flagged = df.select(id_col, text_col).join(ids, id_col, "left")
-    counts = stored(term_counts(flagged, "_in", text_col), "terms")
+    texts = df.select(id_col, text_col)
+    flag = unused("in", texts)
+    counts = stored(term_counts(flagged(texts, in_domain_ids(labels, id_col), flag, id_col), flag, text_col), "terms")
     return sizes(df, dictionary(counts, "n"), dictionary(counts, "n_in"), id_col, text_col)
