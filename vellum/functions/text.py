@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 _BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 DECISIONS = r"\?|&&|\|\||\b(?:if|for|while|switch)\b"
 CYCLOMATIC = r"\b(?:if|for|while|case|catch)\b|\?|&&|\|\|"
-_STEPS = r"\bif\b|\belse\s+if\b|\bfor\b|\bwhile\b|\bswitch\b|\bcase\b|\bcatch\b|\breturn\b|[{}?]|&&|\|\|"
+STEPS = r"\bif\b|\belse\s+if\b|\bfor\b|\bwhile\b|\bswitch\b|\bcase\b|\bcatch\b|\breturn\b|[{}?]|&&|\|\|"
 COLORS = r"#[0-9a-fA-F]{3,8}\b|\bQt\.rgba\s*\("
 STYLE_NUMBERS = r"\b(?:padding|margins?|spacing|radius|implicitHeight|implicitWidth|height|width|font\.pixelSize)\s*:\s*[0-9]+(?:\.[0-9]+)?\b"
 
@@ -81,7 +81,7 @@ def nesting(code: Column) -> Column:
         return F.struct(depth.alias("depth"), F.greatest(s["deepest"], depth).alias("deepest"), (s["cognitive"] + gain).alias("cognitive")).cast(state)
 
     zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("deepest"), F.lit(0).alias("cognitive")).cast(state)
-    return F.aggregate(matches(code, _STEPS), zero, step)
+    return F.aggregate(matches(code, STEPS), zero, step)
 
 
 def binding_complexity(code: Column) -> Column:

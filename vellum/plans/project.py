@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 from ..sources.config import Config
+from ..sources import measures as M
 from ..sources.qml import read_source
 from .tables import removed, stored
 
@@ -31,29 +32,96 @@ PARSED = {
     "executables": "array<struct<owner:int,kind:string,name:string,line:int,lines:int,code:string>>",
     "refs": f"array<{_REF}>",
     "diagnostics": "array<struct<line:int,message:string>>",
+    "measures": "struct<root_type:string,line:int,loc:struct<physical:int,source:int,blank:int,comment:int>,object_count:int,max_depth:int,public_properties:int,aliases:int,signals:int,functions:int,handlers:int,"
+    "bindings:int,ids_declared:int,id_reference_count:int,distinct_id_references:int,hardcoded_colors:int,numeric_style_literals:int,process_objects:int,executables:int,efforts:int,cognitive:int,max_cyclomatic:int,"
+    "max_cognitive:int,binding_sum:int>",
+    "shapes": "array<struct<object_id:int,type:string,line:int,anchors:boolean,layout:boolean,geometry:boolean,active:boolean,source_size:boolean,script:boolean>>",
+    "idle": "array<struct<id_name:string,line:int>>",
+    "losses": "array<struct<line:int,by:string,prop:string>>",
+    "edges": "array<struct<src:string,dst:string>>",
 }
-
-
-def parse(sources: DataFrame) -> DataFrame:
-    """Rows (path, kind, text) to one nested row a file. Filter sources before: nothing is pushed through this stage."""
-    schema = T.StructType([T.StructField(k, T._parse_datatype_string(v)) for k, v in PARSED.items()])
-    arrow = to_arrow_schema(schema)
+#: Files and characters of text that are read before their rows are passed on, and characters of texts whose records a worker keeps.
+_FILES, _CHARS, _KEPT = 2048, 1 << 20, 1 << 20
+
+
+def _record(path: str, kind: str, text: str | None, names: list[str], process_types: frozenset[str]) -> tuple:
+    r = {"path": path, "kind": kind, "text": text} | read_source(path, kind, text or "")
+    for name, made in (("shapes", M.shapes), ("idle", M.idle), ("losses", M.losses)):
+        if name in names:
+            r[name] = made(r) if kind == "qml" else []
+    if "measures" in names:
+        r["measures"] = M.measures(r, process_types)
+    if "edges" in names:
+        r["edges"] = [{"src": a, "dst": b} for a, b in M.edges(r)] if kind == "qml" else []
+    return tuple(r[n] for n in names)
+
+
+def parse(sources: DataFrame, columns: list[str] | None = None, process_types: list[str] | None = None) -> DataFrame:
+    """Rows (path, kind, text) to one nested row a file, of all PARSED columns or of those named. Filter sources before:
+    nothing is pushed through this stage.
+
+    What a file says depends on its folder, kind and text alone (a qmldir's on its path), so that equal ones are read once
+    among the files at hand and those lately read.
+    """
+    names = [k for k in PARSED if columns is None or k in columns]
+    schema = T.StructType([T.StructField(k, T._parse_datatype_string(PARSED[k])) for k in names])
+    arrow, types = to_arrow_schema(schema), frozenset(process_types or ())
+    made = [n for n in names if n not in ("path", "kind", "text")]
 
     def run(batches):
+        kept, older, size = {}, {}, 0
+
+        def rows(paths, kinds, texts):
+            nonlocal kept, older, size
+            at, index, out = {}, [], []
+            for path, kind, text in zip(paths, kinds, texts, strict=True):
+                key = (kind, path if kind == "qmldir" else path.rpartition("/")[0], text)
+                n = at.get(key)
+                if n is None:
+                    n = at[key] = len(out)
+                    record = kept.get(key) or older.get(key)
+                    if record is None:
+                        record = _record(path, kind, text, made, types)
+                    if key not in kept and len(text or "") < 1 << 14:
+                        kept[key] = record
+                        size += len(text or "")
+                        if size > _KEPT:
+                            kept, older, size = {}, kept, 0
+                    out.append(record)
+                index.append(n)
+            given = {"path": paths, "kind": kinds, "text": texts}
+            index = pa.array(index, pa.int32()) if len(out) < len(index) else None
+            arrays = []
+            for f in arrow:
+                if f.name in given:
+                    arrays.append(pa.array(given[f.name], f.type))
+                else:
+                    i = made.index(f.name)
+                    a = pa.array([r[i] for r in out], f.type)
+                    arrays.append(a if index is None else a.take(index))
+            return pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                rows = []
-                for path, kind, text in zip(*(c.slice(lo, 64).to_pylist() for c in batch.columns), strict=True):
-                    rows.append({"path": path, "kind": kind, "text": text} | read_source(path, kind, text or ""))
-                yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in arrow], schema=arrow)
+            paths, kinds, texts = (c.to_pylist() for c in batch.columns)
+            lo = chars = 0
+            for i, text in enumerate(texts):
+                chars += len(text or "")
+                if chars >= _CHARS or i + 1 - lo >= _FILES or i + 1 == len(texts):
+                    yield rows(paths[lo : i + 1], kinds[lo : i + 1], texts[lo : i + 1])
+                    lo, chars = i + 1, 0
 
     return sources.select("path", "kind", "text").mapInArrow(run, schema)
 
 
 class Project:
-    """Lazy tables over one parsed corpus; what several of them read is written once to the shared folder."""
+    """Lazy tables over one parsed corpus; what several of them read is written once to the shared folder.
+
+    columns: the PARSED columns that what is asked for reads, if only they are needed; once: and read in one pass, so that
+    nothing is written before.
+    """
 
-    def __init__(self, sources: DataFrame, config: Config | None = None) -> None:
+    def __init__(self, sources: DataFrame, config: Config | None = None, columns: list[str] | None = None, once: bool = False) -> None:
+        self.columns, self.once = columns, once
         self.config = config or Config()
         self.spark = sources.sparkSession
         self.sources = sources
@@ -73,7 +141,8 @@ class Project:
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return self._keep(parse(self.sources).withColumn("place", F.col("path")), "parsed")
+        rows = parse(self.sources, self.columns, self.config.boundary["objectTypes"]).withColumn("place", F.col("path"))
+        return rows.withColumn("place", F.collate("path", "UNICODE")) if self.once else self._keep(rows, "parsed")
 
     def _rows(self, column: str) -> DataFrame:
         return self.parsed.select(F.col("path").alias("file"), F.posexplode(column).alias("ord", "x")).select("file", "ord", "x.*")
@@ -133,44 +202,23 @@ class Project:
     @cached_property
     def base_components(self) -> DataFrame:
         """Component metrics of one file alone, from its nested row: no shuffle."""
-        calls = F.size(F.filter("objects", lambda o: self.is_process(o["type"])))
+        m = F.col("measures")
+        calls = m["process_objects"]
         for p in self.config.boundary["textPatterns"]:
             calls = calls + X.count(F.col("code"), p)
-        outside = F.filter("refs", lambda r: r["external"])
-        effort = lambda e: X.rounded(e["lines"] * 0.7 + e["cyc"] * 1.5 + e["cog"] * 2)
-        qml = self.parsed.where("kind = 'qml'")
-        rows = qml.select(
+        rows = self.parsed.where("kind = 'qml'").select(
             F.col("path").alias("file"), "path", "place",
             F.regexp_replace(F.substring_index("path", "/", -1), r"\.qml$", "").alias("name"),
-            F.get("objects", F.lit(0))["type"].alias("root_type"),
-            F.coalesce(F.get("objects", F.lit(0))["line"], F.lit(1)).alias("line"),
-            X.line_counts(F.col("text"), F.col("code")).alias("loc"),
-            F.size("objects").alias("object_count"),
-            F.coalesce(F.array_max(F.transform("objects", lambda o: o["depth"])), F.lit(0)).alias("max_depth"),
-            F.size(F.filter("properties", lambda p: (p["owner"] == 1) & ~p["alias"])).alias("public_properties"),
-            F.size(F.filter("properties", lambda p: (p["owner"] == 1) & p["alias"])).alias("aliases"),
-            F.size(F.filter("signals", lambda s: s["owner"] == 1)).alias("signals"),
-            F.size(F.filter("executables", lambda e: e["kind"] == "qml_function")).alias("functions"),
-            F.size(F.filter("executables", lambda e: e["kind"] == "signal_handler")).alias("handlers"),
-            F.size("bindings").alias("bindings"),
-            F.size(F.filter("objects", lambda o: o["id_name"].isNotNull())).alias("ids_declared"),
-            F.size(outside).alias("id_reference_count"),
-            F.size(F.array_distinct(F.transform(outside, lambda r: r["name"]))).alias("distinct_id_references"),
-            X.count(F.col("code"), X.COLORS).alias("hardcoded_colors"),
-            X.count(F.col("code"), X.STYLE_NUMBERS).alias("numeric_style_literals"),
+            *(m[k].alias(k) for k in ("root_type", "line", "loc", "object_count", "max_depth", "public_properties", "aliases", "signals", "functions", "handlers", "bindings", "ids_declared", "id_reference_count", "distinct_id_references", "hardcoded_colors", "numeric_style_literals")),
             calls.alias("process_boundary_calls"),
-            F.when(self.allowed, 0).otherwise(calls).alias("process_boundary_violations"),
-            F.transform("executables", lambda e: F.struct(e["lines"].alias("lines"), X.cyclomatic(e["code"]).alias("cyc"), X.nesting(e["code"])["cognitive"].alias("cog"))).alias("each"),
-            F.aggregate("bindings", F.lit(0), lambda a, b: a + X.binding_complexity(b["code"])).alias("binding_sum"),
+            *(m[k].alias(k) for k in ("executables", "efforts", "cognitive", "max_cyclomatic", "max_cognitive", "binding_sum")),
         )
-        total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
-        of = lambda k: F.transform("each", lambda e: e[k])
-        rows = rows.withColumns({"efforts": F.transform("each", effort), "cognitive": of("cog"), "max_cyclomatic": F.coalesce(F.array_max(of("cyc")), F.lit(0)), "max_cognitive": F.coalesce(F.array_max(of("cog")), F.lit(0))})
-        mean = F.when(F.size("cognitive") > 0, total("cognitive") / F.size("cognitive")).otherwise(0.0)
-        rows = rows.withColumn("effort", X.rounded(F.col("loc.source") * 0.35 + F.col("object_count") * 1.4 + F.col("max_depth") * 4 + total("efforts") * 0.7 + F.col("binding_sum") * 0.6 + F.col("distinct_id_references") * 2 + F.col("process_boundary_violations") * 8))
+        rows = rows.withColumn("process_boundary_violations", F.when(self.allowed, 0).otherwise(F.col("process_boundary_calls")))
+        mean = F.when(F.col("executables") > 0, F.col("cognitive") / F.col("executables")).otherwise(0.0)
+        rows = rows.withColumn("effort", X.rounded(F.col("loc.source") * 0.35 + F.col("object_count") * 1.4 + F.col("max_depth") * 4 + F.col("efforts") * 0.7 + F.col("binding_sum") * 0.6 + F.col("distinct_id_references") * 2 + F.col("process_boundary_violations") * 8))
         rows = rows.withColumn("complexity_score", X.bounded(100 - F.col("max_depth") * 4 - F.col("object_count") * 0.7 - mean * 2))
         rows = rows.withColumn("locality_score", X.bounded((100 - F.col("distinct_id_references") * 4 - F.col("process_boundary_violations") * 10 - F.greatest(F.col("bindings") - 25, F.lit(0))).cast("double")))
-        return rows.drop("each", "efforts", "cognitive", "binding_sum", "path")
+        return rows.drop("executables", "efforts", "cognitive", "binding_sum", "path")
 
     @cached_property
     def components(self) -> DataFrame:
