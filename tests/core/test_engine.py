@@ -6,6 +6,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from vellum.functions import text as X
 from vellum.operators import audit, clones, findings, graph, scores, tasks
 from vellum.plans.project import Project, parse
 from vellum.sources import config as conf
@@ -303,3 +304,28 @@ def test_suppressions_by_every_combination_of_fields(spark):
 
 def test_parse_empty(spark):
     assert parse(spark.createDataFrame([], "path string, kind string, text string")).count() == 0
+
+
+def test_numbers_of_a_file_are_those_of_column_functions(spark):
+    """Metrics, shapes and edges that are read with a file, against expressions over text and tables."""
+    text = 'Item {\n  id: root // c\n   \n  /* a\n b */ property int q: 1\n  width: a && b ? c.d.e.f : 2\n  Row { id: idle; anchors.left: q; x: root.q . z }\n  Row { id: used; Layout.fillWidth: true }\n  function f() { if (used) { return 1 } else if (b) { for (;;) {} } }\n  onDone: { let q = 1; root.q = 2; q = 3; used.x = Qt.binding(f); width == 3; y.width = 1; Keys.width = 2 }\n}'
+    p = project(spark, {"d/A.qml": text, "d/B.qml": text, "e/B.qml": text, "f.js": "function one(a) { return a ? 1 : 2 }"})
+    loc = p.parsed.select("kind", X.line_counts(F.col("text"), F.col("code")).alias("want"), F.col("measures.loc").alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in loc) and len(loc) == 4
+    fold = F.aggregate(F.transform("executables", lambda e: X.nesting(e["code"])["cognitive"]), F.lit(0), lambda a, x: a + x)
+    most = F.array_max(F.transform("executables", lambda e: X.cyclomatic(e["code"])))
+    paths = F.aggregate("bindings", F.lit(0), lambda a, b: a + X.binding_complexity(b["code"]))
+    for r in p.parsed.select("measures", fold.alias("cog"), most.alias("cyc"), paths.alias("sum")).collect():
+        assert (r["measures"]["cognitive"], r["measures"]["max_cyclomatic"], r["measures"]["binding_sum"]) == (r["cog"], r["cyc"], r["sum"])
+    found = findings.semantic_findings(p, ["qml.binding_loss", "qml.layout_conflict.anchors_with_geometry"])
+    assert sorted((r["file"], r["id"].rpartition(".qml.")[2]) for r in found.collect()) == [(f, i) for f in ("d/A.qml", "d/B.qml", "e/B.qml") for i in ("10.root.q", "10.self.q", "7")]
+    assert sorted(r["id"] for r in findings.cleanup_findings(p, ["cleanup.unused_id"]).collect()) == [f"cleanup.unused_id.{f}.idle" for f in ("d/A.qml", "d/B.qml", "e/B.qml")]
+    assert {(r["src"], r["dst"]) for r in graph.binding_edges(p).where("file = 'd/A.qml'").collect()} == {("2:x", "1:q")}
+
+
+def test_kinds_asked_for_make_no_other_tables(spark):
+    p = project(spark, {"A.qml": MAIN})
+    assert findings.semantic_findings(p, ["qml.binding_loss"]).count() == 0 and findings.cleanup_findings(p, ["cleanup.unused_id"]).count() == 0
+    assert "resolution" not in p.__dict__ and "components" not in p.__dict__ and len(p._held) == 1
+    plan = findings.semantic_findings(p, ["qml.layout_conflict.anchors_with_geometry"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan

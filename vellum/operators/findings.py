@@ -68,40 +68,26 @@ def derived_findings(project) -> DataFrame:
     ])
 
 
-def assignments(df: DataFrame, expression: str = "expression") -> DataFrame:
-    """df with rows (by, prop) for each assignment in an expression; declarations and Qt.binding() aside."""
-    pattern = r"(?<!\b(?:const|let|var|property)\s{1,12})\b([A-Za-z_][A-Za-z0-9_]*)(?:\.([A-Za-z_][A-Za-z0-9_]*))?\s*=(?![=>])(?!\s*Qt\.binding\s*\()"
-    one, two = X.matches(F.col(expression), pattern, 1), X.matches(F.col(expression), pattern, 2)
-    rows = df.withColumn("a", F.explode(F.arrays_zip(one.alias("x"), two.alias("y"))))
-    rows = rows.withColumn("by", F.when(F.col("a.y") != "", F.col("a.x"))).withColumn("prop", F.when(F.col("a.y") != "", F.col("a.y")).otherwise(F.col("a.x"))).drop("a")
-    return rows.where(~F.coalesce("by", "prop").isin("Component", "Keys", "Accessible", "Layout", "anchors"))
-
-
 def _ids(project) -> DataFrame:
     return project.objects.where("id_name is not null").groupBy("file", F.col("id_name").alias("by")).agg(F.max_by(F.struct("object_id", "type", "line"), "ord").alias("o")).select("file", "by", F.col("o.object_id").alias("target"), F.col("o.type").alias("type"), F.col("o.line").alias("at"))
 
 
-def semantic_findings(project) -> DataFrame:
-    b, o = project.bindings, project.objects
-    plain = b.where(~X.is_handler(F.col("path")))
-    ids = _ids(project)
-    # Assignments that break a binding.
-    sets = assignments(b.where(X.is_handler(F.col("path"))).select("file", "owner", "line", "expression")).join(ids.select("file", "by", "target"), ["file", "by"], "left")
-    sets = sets.withColumn("target", F.when(F.col("by").isNull(), F.col("owner")).otherwise(F.col("target")))
-    loss = sets.join(plain.select("file", F.col("owner").alias("target"), X.leaf(F.col("path")).alias("prop")), ["file", "target", "prop"], "left_semi")
-    # Cycles.
-    lines = plain.groupBy("file", F.concat_ws(":", F.col("owner").cast("string"), "path").alias("node")).agg(F.max_by("line", "ord").alias("line"))
-    ring = cycles(binding_edges(project)).withColumn("n", F.col("nodes")[0])
+def _lost(project) -> DataFrame:
+    """Assignments that break a binding."""
+    return finding(project._rows("losses"), "qml.binding_loss", "high", [F.lit("qml.binding_loss"), "file", "line", F.coalesce("by", F.lit("self")), "prop"], F.concat_ws(" ", F.lit("An assignment ends the binding of"), "prop"), "Keep the changing value in another property, or assign Qt.binding().")
+
+
+def _rings(project) -> DataFrame:
+    lines = project.bindings.where(~X.is_handler(F.col("path"))).groupBy("file", F.concat_ws(":", F.col("owner").cast("string"), "path").alias("node")).agg(F.max_by("line", "ord").alias("line"))
+    ring = cycles(binding_edges(project), together=True).withColumn("n", F.col("nodes")[0])
     ring = ring.select("file", "n", F.explode("nodes").alias("node")).join(lines, ["file", "node"], "left")
     ring = ring.groupBy("file", "n").agg(F.array_sort(F.collect_list(F.coalesce("line", F.lit(1)))).alias("lines"), F.array_sort(F.collect_list(F.regexp_replace("node", "^[0-9]+:", ""))).alias("labels"))
-    # Layout.
-    names = b.groupBy("file", F.col("owner").alias("object_id")).agg(
-        F.max(F.col("path").startswith("anchors.")).alias("anchors"), F.max(F.col("path").startswith("Layout.")).alias("layout"), F.max(F.col("path").isin("x", "y", "width", "height")).alias("geometry"),
-        F.max(F.col("path") == "active").alias("active"), F.max(F.col("path").startswith("sourceSize.")).alias("source_size"),
-        F.max((X.utf16_length(F.col("expression")) > 120) | (X.count(F.col("code"), X.DECISIONS) >= 2)).alias("script"),
-    )
-    shaped = o.join(names, ["file", "object_id"], "left").withColumn("base", X.leaf(F.col("type")))
-    # Public members that nobody uses.
+    return finding(ring, "qml.binding_cycle", "high", [F.lit("qml.binding_cycle"), "file", F.concat_ws(".", F.transform("lines", lambda x: x.cast("string")))], F.concat(F.lit("Bindings depend on each other: "), F.concat_ws(", ", "labels")), "Let values flow one way from a single source.", line=F.col("lines")[0])
+
+
+def _unused_members(project) -> tuple[DataFrame, DataFrame]:
+    """Public properties and signals that nobody uses."""
+    b, o = project.bindings, project.objects
     targets = project.resolution.uses.where("target is not null").select("file", "object_id", "target")
     foreign = targets.where("target <> file")
     leaf = X.leaf(F.col("path"))
@@ -112,7 +98,15 @@ def semantic_findings(project) -> DataFrame:
     open_files = project.resolution.public_files.join(foreign.select(F.col("target").alias("file")).distinct(), "file", "left_semi")
     props = project.properties.where("owner = 1 and not alias").join(open_files, "file", "left_semi").join(used.union(reads), ["file", "name"], "left_anti")
     sigs = project.signals.where("owner = 1").join(open_files, "file", "left_semi").join(used.union(calls), ["file", "name"], "left_anti")
-    # Handlers of Connections whose target has no such signal.
+    return (
+        finding(props, "cleanup.unused_public_property", "low", [F.lit("cleanup.unused_public_property"), "file", "name"], F.concat_ws(" ", F.lit("Property without a user:"), "name"), "Remove it, hide it, or use it."),
+        finding(sigs, "cleanup.unused_public_signal", "low", [F.lit("cleanup.unused_public_signal"), "file", "name"], F.concat_ws(" ", F.lit("Signal without a user:"), "name"), "Remove it or handle it."),
+    )
+
+
+def _mismatches(project) -> DataFrame:
+    """Handlers of Connections whose target has no such signal."""
+    b, o, ids = project.bindings, project.objects, _ids(project)
     conn = o.where(X.leaf(F.col("type")) == "Connections").select("file", "object_id")
     aim = b.where("path = 'target'").groupBy("file", F.col("owner").alias("object_id")).agg(F.min_by(X.trimmed(F.col("expression")), "ord").alias("by"))
     aimed = conn.join(aim, ["file", "object_id"]).join(ids, ["file", "by"])
@@ -122,18 +116,32 @@ def semantic_findings(project) -> DataFrame:
     aimed = aimed.join(root_signals.select("source").distinct(), "source", "left_semi")
     handlers = project._rows("executables").where("(kind = 'signal_handler' or name rlike '^on[A-Z]') and owner is not null").select("file", F.col("owner").alias("object_id"), "name", "line")
     wrong = aimed.join(handlers, ["file", "object_id"]).withColumn("signal", F.when(X.is_handler(F.col("name")), X.signal_of(F.col("name")))).where("signal is not null").join(root_signals, ["source", "signal"], "left_anti")
-    return _all([
-        finding(loss, "qml.binding_loss", "high", [F.lit("qml.binding_loss"), "file", "line", F.coalesce("by", F.lit("self")), "prop"], F.concat_ws(" ", F.lit("An assignment ends the binding of"), "prop"), "Keep the changing value in another property, or assign Qt.binding()."),
-        finding(ring, "qml.binding_cycle", "high", [F.lit("qml.binding_cycle"), "file", F.concat_ws(".", F.transform("lines", lambda x: x.cast("string")))], F.concat(F.lit("Bindings depend on each other: "), F.concat_ws(", ", "labels")), "Let values flow one way from a single source.", line=F.col("lines")[0]),
-        finding(shaped.where("anchors and layout"), "qml.layout_conflict.anchors_with_layout", "medium", [F.lit("qml.layout_conflict.anchors_layout"), "file", "line"], F.concat_ws(" ", "type", F.lit("has anchors and layout properties")), "Place the item by one of both."),
-        finding(shaped.where("anchors and geometry"), "qml.layout_conflict.anchors_with_geometry", "medium", [F.lit("qml.layout_conflict.anchors_geometry"), "file", "line"], F.concat_ws(" ", "type", F.lit("has anchors and a fixed place or size")), "Leave out what the anchors decide."),
-        finding(props, "cleanup.unused_public_property", "low", [F.lit("cleanup.unused_public_property"), "file", "name"], F.concat_ws(" ", F.lit("Property without a user:"), "name"), "Remove it, hide it, or use it."),
-        finding(sigs, "cleanup.unused_public_signal", "low", [F.lit("cleanup.unused_public_signal"), "file", "name"], F.concat_ws(" ", F.lit("Signal without a user:"), "name"), "Remove it or handle it."),
-        finding(wrong, "qml.connection_signal_mismatch", "medium", [F.lit("qml.connection_mismatch"), "file", "line", "name"], F.concat_ws(" ", "type", F.lit("has no signal for"), "name"), "Correct the handler or declare the signal."),
-        finding(shaped.where("base = 'Loader' and not coalesce(active, false)"), "qml.performance.loader_without_active", "low", [F.lit("qml.performance.loader_active"), "file", "line"], "A Loader doesn't say when it is active", "Bind active where loading can wait."),
-        finding(shaped.where("base = 'Image' and not coalesce(source_size, false)"), "qml.performance.image_without_source_size", "low", [F.lit("qml.performance.image_source_size"), "file", "line"], "An Image is decoded in its full size", "Bind the source size."),
-        finding(shaped.where("base like '%Delegate' and script"), "qml.performance_complex_delegate_js", "medium", [F.lit("qml.performance.delegate_js"), "file", "line"], F.concat_ws(" ", "type", F.lit("computes in its bindings")), "Compute in the model or once in a property."),
-    ])
+    return finding(wrong, "qml.connection_signal_mismatch", "medium", [F.lit("qml.connection_mismatch"), "file", "line", "name"], F.concat_ws(" ", "type", F.lit("has no signal for"), "name"), "Correct the handler or declare the signal.")
+
+
+_CONFLICT = "qml.layout_conflict.anchors_with_"
+#: Kinds that the shape of an object gives: (condition, severity, name in ids, whether the type begins the message, message, advice).
+_SHAPES = {
+    _CONFLICT + "layout": ("anchors and layout", "medium", "qml.layout_conflict.anchors_layout", True, "has anchors and layout properties", "Place the item by one of both."),
+    _CONFLICT + "geometry": ("anchors and geometry", "medium", "qml.layout_conflict.anchors_geometry", True, "has anchors and a fixed place or size", "Leave out what the anchors decide."),
+    "qml.performance.loader_without_active": ("base = 'Loader' and not active", "low", "qml.performance.loader_active", False, "A Loader doesn't say when it is active", "Bind active where loading can wait."),
+    "qml.performance.image_without_source_size": ("base = 'Image' and not source_size", "low", "qml.performance.image_source_size", False, "An Image is decoded in its full size", "Bind the source size."),
+    "qml.performance_complex_delegate_js": ("base like '%Delegate' and script", "medium", "qml.performance.delegate_js", True, "computes in its bindings", "Compute in the model or once in a property."),
+}
+
+
+def semantic_findings(project, kinds: list[str] | None = None) -> DataFrame:
+    """All of them, or those of some kinds; tables that no wanted kind reads aren't made."""
+    want = lambda k: kinds is None or k in kinds
+    parts = [made(project) for kind, made in (("qml.binding_loss", _lost), ("qml.binding_cycle", _rings), ("qml.connection_signal_mismatch", _mismatches)) if want(kind)]
+    shaped = project._rows("shapes").withColumn("base", X.leaf(F.col("type"))) if any(map(want, _SHAPES)) else None
+    for kind, (condition, severity, name, typed, message, advice) in _SHAPES.items():
+        if want(kind):
+            parts.append(finding(shaped.where(condition), kind, severity, [F.lit(name), "file", "line"], F.concat_ws(" ", "type", F.lit(message)) if typed else message, advice))
+    members = ("cleanup.unused_public_property", "cleanup.unused_public_signal")
+    if any(map(want, members)):
+        parts += [df for kind, df in zip(members, _unused_members(project), strict=True) if want(kind)]
+    return _all(parts)
 
 
 def _suppressions(project) -> DataFrame | None:
@@ -214,14 +222,20 @@ def lint_findings(lint: DataFrame) -> DataFrame:
     return finding(lint, "qmllint.diagnostic", severity, [F.lit("qmllint"), "file", "line", F.coalesce("column", F.lit(0)), F.coalesce("rule", "message")], F.col("message"), "See the linter's own advice.")
 
 
-def cleanup_findings(project) -> DataFrame:
+def _alone(project) -> DataFrame:
     r = project.resolution
     alone = project.components.where("use_count = 0").join(r.public_files, "file", "left_anti").join(r.referenced, "file", "left_anti")
-    idle = project.objects.where("id_name is not null and id_name <> 'root'").join(project.refs.where("target is not null").select("file", F.col("target").alias("object_id")).distinct(), ["file", "object_id"], "left_anti")
-    return suppress(_all([
-        finding(alone, "cleanup.unused_component", "low", [F.lit("cleanup.unused_component"), "file"], "No other component uses this one", "Remove it, or make it public in a qmldir."),
-        finding(idle, "cleanup.unused_id", "low", [F.lit("cleanup.unused_id"), "file", "id_name"], F.concat_ws(" ", F.lit("Nothing refers to the id"), "id_name"), "Remove the id unless something outside needs it."),
-    ]), _suppressions(project))
+    return finding(alone, "cleanup.unused_component", "low", [F.lit("cleanup.unused_component"), "file"], "No other component uses this one", "Remove it, or make it public in a qmldir.")
+
+
+def _idle(project) -> DataFrame:
+    return finding(project._rows("idle"), "cleanup.unused_id", "low", [F.lit("cleanup.unused_id"), "file", "id_name"], F.concat_ws(" ", F.lit("Nothing refers to the id"), "id_name"), "Remove the id unless something outside needs it.")
+
+
+def cleanup_findings(project, kinds: list[str] | None = None) -> DataFrame:
+    """All of them, or those of some kinds; tables that no wanted kind reads aren't made."""
+    parts = [made(project) for kind, made in (("cleanup.unused_component", _alone), ("cleanup.unused_id", _idle)) if kinds is None or kind in kinds]
+    return suppress(_all(parts), _suppressions(project))
 
 
 def summary(findings: DataFrame) -> DataFrame:

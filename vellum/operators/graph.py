@@ -48,9 +48,9 @@ def cycles_of(edges: list[tuple[str, str]]) -> list[list[str]]:
     return out
 
 
-def cycles(edges: DataFrame, file: str = "file") -> DataFrame:
+def cycles(edges: DataFrame, file: str = "file", together: bool = False) -> DataFrame:
     """(file, nodes array<string>) of edges (file, src, dst). Edges come in order of file, so that one call takes many files
-    and holds the graph of one; a node is in one cycle at most."""
+    and holds the graph of one; a node is in one cycle at most. together: a file's edges stand side by side already."""
 
     def run(batches):
         import pyarrow as pa
@@ -71,28 +71,15 @@ def cycles(edges: DataFrame, file: str = "file") -> DataFrame:
             yield made(done)
         yield made([(now, held)] if held else [])
 
-    ordered = edges.select(file, "src", "dst").repartition(file).sortWithinPartitions(file)
+    ordered = edges.select(file, "src", "dst")
+    ordered = ordered if together else ordered.repartition(file).sortWithinPartitions(file)
     return ordered.mapInArrow(run, f"{file} string, nodes array<string>")
 
 
 def binding_edges(project) -> DataFrame:
-    """(file, src, dst): bindings that read a property bound in the same object, or one of an object named by id.
-
-    Identifier paths are taken out of each expression once and joined: no pattern is built from data.
-    """
-    own = project.bindings.where(~X.is_handler(F.col("path")))
-    node = lambda o, p: F.concat_ws(":", F.col(o).cast("string"), F.col(p))
-    names = own.select("file", "owner", node("owner", "path").alias("src"), F.explode(F.array_distinct(X.matches(F.col("code"), r"(?<![A-Za-z0-9_$.])[A-Za-z_$][A-Za-z0-9_$]*"))).alias("first"))
-    here = own.select("file", "owner", F.substring_index("path", ".", 1).alias("first"), node("owner", "path").alias("dst"))
-    bare = names.join(here, ["file", "owner", "first"]).select("file", "src", "dst")
-    path = r"(?<![A-Za-z0-9_])([A-Za-z_$][A-Za-z0-9_$]*)(?=\s*\.\s*([A-Za-z_][A-Za-z0-9_]*(?:\s*\.\s*[A-Za-z_][A-Za-z0-9_]*)*))"
-    pairs = F.arrays_zip(X.matches(F.col("expression"), path, 1).alias("id"), X.matches(F.col("expression"), path, 2).alias("rest"))
-    read = own.select("file", "owner", node("owner", "path").alias("src"), "refs", F.explode(F.array_distinct(pairs)).alias("p"))
-    named = read.select("file", "owner", "src", F.col("p.id").alias("name"), F.split(F.regexp_replace("p.rest", r"\s+", ""), r"\.").alias("seg"), F.explode("refs").alias("r")).where("r.name = name and r.target is not null and r.target <> owner").select("file", "src", F.col("r.target").alias("target"), "seg").distinct()
-    tries = named.select("file", "src", "target", "seg", F.explode(F.sequence(F.lit(1), F.size("seg"))).alias("n")).withColumn("known", F.concat_ws(".", F.slice("seg", F.lit(1), F.col("n"))))
-    known = project.bindings.select("file", F.col("owner").alias("target"), F.col("path").alias("known")).union(project.properties.select("file", "owner", "name")).distinct().withColumn("ok", F.lit(True))
-    best = tries.join(known, ["file", "target", "known"], "left").groupBy("file", "src", "target", "seg").agg(F.coalesce(F.max_by("known", F.when(F.col("ok"), F.col("n"))), F.col("seg")[0]).alias("prop"))
-    return bare.union(best.select("file", "src", node("target", "prop").alias("dst"))).distinct()
+    """(file, src, dst): bindings that read a property bound in the same object, or one of an object named by id; a file's
+    stand side by side."""
+    return project._rows("edges").select("file", "src", "dst")
 
 
 def architecture(project) -> tuple[DataFrame, DataFrame]:

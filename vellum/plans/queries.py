@@ -21,8 +21,14 @@ def load(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all shuffle partitions, by keys or evenly. Reading a file costs far more than its bytes say, by which partitions
+    would be merged or scans divided."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def order_sources(spark: SparkSession, d: str) -> DataFrame:
-    items = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"))).alias("items"))
+    items = spread(load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"), "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"))).alias("items"))
     child = lambda x, i: (
         F.when(x["l_returnflag"] == "R", F.concat(F.lit("  Rectangle { id: c"), i.cast("string"), F.lit("; width: root.total; anchors.left: root.left }")))
         .when(x["l_returnflag"] == "A", F.concat(F.lit("  Loader { active: root.total > "), x["l_quantity"].cast("int").cast("string"), F.lit("; onLoaded: { if (root) { root.total = 1 } } }")))
@@ -34,7 +40,7 @@ def order_sources(spark: SparkSession, d: str) -> DataFrame:
 
 def supplier_sources(spark: SparkSession, d: str) -> DataFrame:
     """A module folder for each nation, a component for each supplier, and a page for each customer that uses two."""
-    s, c = load(spark, d, "supplier"), load(spark, d, "customer")
+    s, c = load(spark, d, "supplier"), spread(load(spark, d, "customer").select("c_custkey", "c_nationkey"))
     folder = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
     name = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
     comps = s.select(F.concat(folder, F.lit("/"), name, F.lit(".qml")).alias("path"), F.lit("qml").alias("kind"), F.lit("Item {\n  id: root\n  property int size\n  signal done\n}").alias("text"))
@@ -51,7 +57,7 @@ def supplier_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_component_metrics(spark, d):
-    p = Project(order_sources(spark, d))
+    p = Project(order_sources(spark, d), columns=["path", "kind", "code", "measures"], once=True)
     return p.base_components.select("file", F.col("loc.source").alias("source"), F.col("loc.blank").alias("blank"), "object_count", "max_depth", "bindings", "handlers", "ids_declared", "id_reference_count", "distinct_id_references", "numeric_style_literals", "max_cyclomatic", "max_cognitive", "locality_score", "complexity_score", "effort")
 
 
@@ -63,17 +69,18 @@ greatest(0, least(100, 100 - ids * 4 - greatest(bindings - 25, 0)))::bigint as l
 
 
 def q_hotspots(spark, d):
-    p = Project(order_sources(spark, d))
-    p.components = p.base_components.withColumn("use_count", F.lit(0)).withColumn("fan_out", F.lit(0))
+    p = Project(order_sources(spark, d), columns=["path", "kind", "code", "measures"], once=True)
+    # Written before it is sorted, as sorting reads its rows twice.
+    p.components = p._keep(p.base_components, "components").withColumn("use_count", F.lit(0)).withColumn("fan_out", F.lit(0))
     return scores.hotspots(p).select("file", "score", "objects", "effort", F.concat_ws(",", "reasons").alias("reasons"))
 
 
 S_hotspots = f"""{_ORDERS} select file, floor(source * 0.08::double + objects * 1.5::double + depth * 5 + ids * 4 + cyc * 3 + cog * 2 + greatest(bindings - 30, 0) * 0.4::double + 0.5)::bigint as score, objects::bigint as objects, {_EFFORT}::bigint as effort, '' as reasons from f"""
 
 
-def _semantic(kind):
+def _semantic(kind, column):
     def run(spark, d):
-        return findings.semantic_findings(Project(order_sources(spark, d))).where(F.col("kind") == kind).groupBy("file", "severity").agg(F.count("*").alias("n"))
+        return findings.semantic_findings(Project(order_sources(spark, d), columns=["path", "kind", column], once=True), [kind]).groupBy("file", "severity").agg(F.count("*").alias("n"))
 
     return run
 
@@ -83,7 +90,7 @@ def _semantic_sql(column, severity):
 
 
 def q_unused_ids(spark, d):
-    return findings.cleanup_findings(Project(order_sources(spark, d))).where("kind = 'cleanup.unused_id'").select("id", "file", "line")
+    return findings.cleanup_findings(Project(order_sources(spark, d), columns=["path", "kind", "idle"], once=True), ["cleanup.unused_id"]).select("id", "file", "line")
 
 
 S_unused_ids = """with o as (select l_orderkey k, l_returnflag f, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) as i from lineitem)
@@ -133,11 +140,11 @@ select name, count(*)::bigint as files, min(file) as first_file from q group by
 
 def q_binding_cycles(spark, d):
     """A ring of as many bindings as an order has line items, of those with three or more."""
-    n = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"))
+    n = spread(load(spark, d, "lineitem").select("l_orderkey"), "l_orderkey").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"))
     ring = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.lit("  p"), i.cast("string"), F.lit(": p"), F.when(i < F.col("n"), i + 1).when(F.col("n") >= 3, F.lit(1)).otherwise(F.lit(99)).cast("string"), F.lit(" + 1")))
     text = F.concat(F.lit("Item {\n"), F.concat_ws("\n", ring), F.lit("\n}"))
-    p = Project(n.select(F.concat(F.lit("r"), F.col("l_orderkey").cast("string"), F.lit(".qml")).alias("path"), F.lit("qml").alias("kind"), text.alias("text")))
-    return graph.cycles(graph.binding_edges(p)).select("file", F.size("nodes").cast("long").alias("nodes"))
+    p = Project(n.select(F.concat(F.lit("r"), F.col("l_orderkey").cast("string"), F.lit(".qml")).alias("path"), F.lit("qml").alias("kind"), text.alias("text")), columns=["path", "kind", "edges"], once=True)
+    return graph.cycles(graph.binding_edges(p), together=True).select("file", F.size("nodes").cast("long").alias("nodes"))
 
 
 S_binding_cycles = "select 'r' || l_orderkey || '.qml' as file, count(*)::bigint as nodes from lineitem group by l_orderkey having count(*) >= 3"
@@ -278,11 +285,11 @@ def q_project_scores(spark, d):
 
 _SQL = {k[2:]: v for k, v in list(globals().items()) if k.startswith("S_")}
 _RUN = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
-for _name, _kind, _column, _severity in (
-    ("binding_loss", "qml.binding_loss", "a", "high"),
-    ("layout_conflict", "qml.layout_conflict.anchors_with_geometry", "r", "medium"),
-    ("image_smells", "qml.performance.image_without_source_size", "i", "low"),
+for _name, _kind, _column, _severity, _read in (
+    ("binding_loss", "qml.binding_loss", "a", "high", "losses"),
+    ("layout_conflict", "qml.layout_conflict.anchors_with_geometry", "r", "medium", "shapes"),
+    ("image_smells", "qml.performance.image_without_source_size", "i", "low", "shapes"),
 ):
-    _RUN[_name], _SQL[_name] = _semantic(_kind), _semantic_sql(_column, _severity)
+    _RUN[_name], _SQL[_name] = _semantic(_kind, _read), _semantic_sql(_column, _severity)
 
 QUERIES, ORACLE_SQL = dict(sorted(_RUN.items())), dict(sorted(_SQL.items()))
