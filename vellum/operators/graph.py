@@ -94,8 +94,12 @@ def architecture(project) -> tuple[DataFrame, DataFrame]:
         path.alias("id"), F.substring_index("path", "/", -1).alias("label"), F.when(F.col("kind") == "qml", role).otherwise(F.col("kind")).alias("kind"), shell.alias("entrypoint"), F.col("loc.source").alias("source_lines"),
         F.col("object_count").alias("objects"), "effort", F.col("locality_score").alias("locality"), F.col("leverage_score").alias("leverage"), "process_boundary_calls", "process_boundary_violations", F.coalesce(score, F.lit(0)).alias("risk_score"),
     ).withColumn("risk", F.when(F.col("risk_score") >= 120, "high").when(F.col("risk_score") >= 60, "medium").otherwise("low"))
+    return nodes, architecture_edges(project)
+
+
+def architecture_edges(project) -> DataFrame:
     use = project.resolution.uses.where("target is not null and target <> file").select(F.col("file").alias("src"), F.col("target").alias("dst"), F.lit("component_use").alias("kind"), "line")
     kind = F.when(F.col("kind") == "external", "external_import").when(F.col("kind") == "unresolved", "unresolved_import").otherwise("local_import")
     imp = project.resolution.imports.select(F.col("file"), F.coalesce("target", "module"), kind, "line")
     ids = project.refs.where("external").select("file", F.concat_ws("#", "file", "name"), F.lit("id_reference"), "line")
-    return nodes, use.union(imp).union(ids)
+    return use.union(imp).union(ids)

@@ -33,7 +33,7 @@ class Resolution:
     def entries(self) -> DataFrame:
         """qmldir entries whose file was scanned."""
         rows = self.parsed.where("kind = 'qmldir'").select(F.col("path").alias("qmldir"), "place", "module", F.posexplode("entries").alias("ord", "e")).select("qmldir", "place", "module", "ord", "e.*")
-        return rows.join(self.parsed.select(F.col("path").alias("file")), "file", "left_semi")
+        return rows.join(self.parsed.select(F.col("path").alias("file")).hint("merge"), "file", "left_semi")
 
     @cached_property
     def modules(self) -> DataFrame:
@@ -41,10 +41,15 @@ class Resolution:
         named = self.parsed.where("kind = 'qmldir' and module is not null")
         return named.groupBy("module").agg(F.min_by("path", "place").alias("qmldir"))
 
+    @cached_property
+    def own_names(self) -> DataFrame:
+        """(name, file) of each component."""
+        return self.parsed.where("kind = 'qml'").select(F.regexp_replace(F.substring_index("path", "/", -1), r"\.qml$", "").alias("name"), F.col("path").alias("file"))
+
     @cached_property
     def names(self) -> DataFrame:
         """(name, files): what a type name may stand for in the whole project; ambiguous with two files or more."""
-        own = self.project.base_components.select("name", "file").union(self.entries.select("name", "file"))
+        own = self.own_names.union(self.entries.select("name", "file"))
         return own.groupBy("name").agg(F.array_sort(F.collect_set("file")).alias("files"))
 
     @cached_property
@@ -58,9 +63,10 @@ class Resolution:
         paths = self.parsed.select(F.col("path").alias("p"))
         folders = self.parsed.where(F.lower("path").endswith(".qml")).select(X.folder(F.col("path")).alias("d")).distinct()
         c, m = F.col("candidate"), F.col("module")
-        rows = self.project.imports
+        # What an import stands for is found once for each module and place, and then led back to all that have it.
+        rows = self.project.imports.select("module", "candidate").distinct()
         for name, key in (("as_file", c), ("as_qml", F.concat(F.when(c != "", c), F.lit(".qml"))), ("as_qmldir", F.when(c == "", "qmldir").otherwise(F.concat(c, F.lit("/qmldir"))))):
-            rows = rows.withColumn("_k", key).join(paths.withColumnRenamed("p", name), F.col("_k") == F.col(name), "left").drop("_k")
+            rows = rows.withColumn("_k", key).join(paths.withColumnRenamed("p", name).hint("merge"), F.col("_k") == F.col(name), "left").drop("_k")
         rows = rows.withColumn("_k", F.when(c == "", ".").otherwise(c)).join(folders, F.col("_k") == F.col("d"), "left").drop("_k")
         rows = rows.join(self.modules, "module", "left")
         local = m.startswith(".") | m.contains("/") | F.lower(m).rlike(r"\.(?:js|mjs|qml)$")
@@ -76,7 +82,8 @@ class Resolution:
         other = F.when(F.col("qmldir").isNotNull(), F.struct(F.lit("local_module").alias("kind"), F.col("qmldir").alias("target")))
         other = other.when(external, F.struct(F.lit("external").alias("kind"), F.lit(None).cast("string").alias("target")))
         other = other.when(F.col("d").isNotNull(), at).otherwise(F.struct(F.lit("unresolved").alias("kind"), F.lit(None).cast("string").alias("target")))
-        return rows.withColumn("r", F.when(local, at).otherwise(other)).select("file", "ord", "module", "version", "alias", "line", F.col("r.kind").alias("kind"), F.col("r.target").alias("target"))
+        found = rows.select("module", "candidate", F.when(local, at).otherwise(other).alias("r")).hint("merge")
+        return self.project.imports.join(found, ["module", "candidate"], "left").select("file", "ord", "module", "version", "alias", "line", F.col("r.kind").alias("kind"), F.col("r.target").alias("target"))
 
     @cached_property
     def targets(self) -> DataFrame:
@@ -87,17 +94,17 @@ class Resolution:
         """
         used = self.project.objects.select("file", "type").distinct()
         plain, dotted = used.where(~F.col("type").contains(".")), used.where(F.col("type").contains("."))
-        comps = self.project.base_components.select("name", F.col("file").alias("target"), X.folder(F.col("file")).alias("folder"))
-        own = plain.withColumn("folder", X.folder(F.col("file"))).withColumnRenamed("type", "name").join(comps, ["folder", "name"]).select("file", F.col("name").alias("type"), "target", F.lit(-1).alias("at"), F.lit(0).alias("entry"))
+        comps = self.own_names.select("name", F.col("file").alias("target"), X.folder(F.col("file")).alias("folder"))
+        own = plain.withColumn("folder", X.folder(F.col("file"))).withColumnRenamed("type", "name").join(comps.hint("merge"), ["folder", "name"]).select("file", F.col("name").alias("type"), "target", F.lit(-1).alias("at"), F.lit(0).alias("entry"))
         exports = (
             comps.select(F.col("target").alias("source"), "name", "target", F.lit(0).alias("entry"))
             .union(self.entries.select("qmldir", "name", "file", "ord"))
             .union(comps.select(F.when(F.col("folder") == ".", "").otherwise(F.col("folder")), "name", "target", F.lit(0)))
         )
         local = self.imports.where(F.col("kind").startswith("local")).select("file", F.col("ord").alias("at"), "alias", F.col("target").alias("source"))
-        bare = plain.withColumnRenamed("type", "name").join(local.where("alias is null"), "file").join(exports, ["source", "name"]).select("file", F.col("name").alias("type"), "target", "at", "entry")
+        bare = plain.withColumnRenamed("type", "name").join(local.where("alias is null").hint("merge"), "file").join(exports.hint("merge"), ["source", "name"]).select("file", F.col("name").alias("type"), "target", "at", "entry")
         last = local.where("alias is not null").groupBy("file", "alias").agg(F.max_by("source", "at").alias("source"), F.max("at").alias("at"))
-        named = dotted.withColumn("alias", F.substring_index("type", ".", 1)).withColumn("name", X.leaf(F.col("type"))).join(last, ["file", "alias"]).join(exports, ["source", "name"]).select("file", "type", "target", "at", "entry")
+        named = dotted.withColumn("alias", F.substring_index("type", ".", 1)).withColumn("name", X.leaf(F.col("type"))).join(last.hint("merge"), ["file", "alias"]).join(exports.hint("merge"), ["source", "name"]).select("file", "type", "target", "at", "entry")
         return own.union(bare).union(named).groupBy("file", "type").agg(F.max_by("target", F.struct("at", "entry")).alias("target"))
 
     @cached_property
@@ -105,7 +112,7 @@ class Resolution:
         """(file, ord, object_id, type, line, target, unresolved): objects of project types, known or not."""
         base = X.leaf(F.col("type"))
         candidate = base.rlike("^[A-Z]") & ~base.isin(*sorted(BUILTIN | set(self.config.external_types)))
-        rows = self.project.objects.join(self.targets, ["file", "type"], "left").withColumn("unresolved", F.col("target").isNull() & candidate)
+        rows = self.project.objects.join(self.targets.hint("merge"), ["file", "type"], "left").withColumn("unresolved", F.col("target").isNull() & candidate)
         return self.project._keep(rows.where("target is not null or unresolved").select("file", "ord", "object_id", "type", "line", "target", "unresolved"), "uses")
 
     @cached_property

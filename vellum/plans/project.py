@@ -187,7 +187,7 @@ class Project:
 
     @cached_property
     def files(self) -> DataFrame:
-        return self.parsed.select("path", "kind", "place", X.line_counts(F.col("text"), F.col("code")).alias("loc"))
+        return self.parsed.select("path", "kind", "place", F.col("measures.loc").alias("loc"))
 
     @cached_property
     def allowed(self):
@@ -226,7 +226,7 @@ class Project:
         uses = self.resolution.uses.where(F.col("target").isNotNull() & (F.col("target") != F.col("file")))
         used = uses.groupBy(F.col("target").alias("file")).agg(F.count("*").cast("int").alias("use_count"))
         out = uses.groupBy("file").agg(F.countDistinct("target").cast("int").alias("fan_out"))
-        rows = self.base_components.join(used, "file", "left").join(out, "file", "left").fillna(0, ["use_count", "fan_out"])
+        rows = self.base_components.join(used.hint("merge"), "file", "left").join(out.hint("merge"), "file", "left").fillna(0, ["use_count", "fan_out"])
         return self._keep(rows.withColumn("leverage_score", X.bounded(50 + F.col("use_count") * 15 - F.col("effort") * 0.15 - F.col("fan_out") * 2)), "components")
 
     @cached_property

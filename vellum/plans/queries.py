@@ -97,8 +97,12 @@ S_unused_ids = """with o as (select l_orderkey k, l_returnflag f, row_number() o
 select 'cleanup.unused_id.orders/o' || k || '.qml.c' || (i - 1) as id, 'orders/o' || k || '.qml' as file, (i + 5)::bigint as line from o where f = 'R'"""
 
 
+#: What resolution reads.
+_RESOLVED = ["path", "kind", "module", "entries", "imports", "objects"]
+
+
 def q_import_resolution(spark, d):
-    return Project(supplier_sources(spark, d)).resolution.imports.select("file", "module", "alias", "kind", "target")
+    return Project(supplier_sources(spark, d), columns=["path", "kind", "module", "imports"]).resolution.imports.select("file", "module", "alias", "kind", "target")
 
 
 S_import_resolution = """with m as (select distinct s_nationkey n from supplier), i as (select c_custkey c, c_nationkey n, null as alias from customer union all select c_custkey, (c_nationkey + 1) % 25, 'Next' from customer)
@@ -106,7 +110,7 @@ select 'pages/P' || c || '.qml' as file, 'nation.n' || i.n as module, alias, cas
 
 
 def q_component_uses(spark, d):
-    return Project(supplier_sources(spark, d)).resolution.uses.select("file", "type", "target", "unresolved")
+    return Project(supplier_sources(spark, d), columns=_RESOLVED).resolution.uses.select("file", "type", "target", "unresolved")
 
 
 S_component_uses = """with t as (select count(*) n from supplier), u as (select c_custkey c, c_nationkey n, c_custkey % t.n as s, '' as pre from customer, t union all select c_custkey, (c_nationkey + 1) % 25, (c_custkey * 7 + 3) % t.n, 'Next.' from customer, t)
@@ -114,7 +118,7 @@ select 'pages/P' || c || '.qml' as file, pre || 'S' || s as type, case when s_su
 
 
 def q_leverage(spark, d):
-    return scores.leverage(Project(supplier_sources(spark, d))).where("file not like 'pages/%'").select("file", "use_count", "fan_out", "effort", "leverage_score", "classification")
+    return scores.leverage(Project(supplier_sources(spark, d), columns=[*_RESOLVED, "code", "measures"])).where("file not like 'pages/%'").select("file", "use_count", "fan_out", "effort", "leverage_score", "classification")
 
 
 S_leverage = f"""with uses as ({S_component_uses}), n as (select target, count(*) c from uses where target is not null group by 1), f as (select 'n' || s_nationkey || '/S' || s_suppkey || '.qml' as file, coalesce(c, 0) c from supplier left join n on target = 'n' || s_nationkey || '/S' || s_suppkey || '.qml')
@@ -122,7 +126,7 @@ select file, c::bigint as use_count, 0::bigint as fan_out, 8::bigint as effort,
 
 
 def q_architecture_edges(spark, d):
-    return graph.architecture(Project(supplier_sources(spark, d)))[1].groupBy("kind").agg(F.count("*").alias("n"))
+    return graph.architecture_edges(Project(supplier_sources(spark, d), columns=[*_RESOLVED, "refs"])).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 S_architecture_edges = f"""with uses as ({S_component_uses}), imps as ({S_import_resolution}) select 'component_use' as kind, count(*)::bigint as n from uses where target is not null union all select case when kind = 'unresolved' then 'unresolved_import' else 'local_import' end, count(*)::bigint from imps group by 1"""
