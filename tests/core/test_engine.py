@@ -1,6 +1,7 @@
 """The static-quality engine on small projects."""
 
 import json
+import random
 import subprocess
 
 import pytest
@@ -329,3 +330,44 @@ def test_kinds_asked_for_make_no_other_tables(spark):
     assert "resolution" not in p.__dict__ and "components" not in p.__dict__ and len(p._held) == 1
     plan = findings.semantic_findings(p, ["qml.layout_conflict.anchors_with_geometry"])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_clones_have_all_places_and_scores_all_groups(spark):
+    """30 files that share seven lines, of which two share an eighth; and 101 pairs of other files."""
+    body = "\n".join(f"  property string name{c}: 'x'" for c in "abcdefg")
+    sources = {f"d/F{i:02}.qml": f"// {i}\nItem{i} {{\n{body}\n" + ("  width: height\n" if i < 2 else f"  other{i}z: a\n") + "}" for i in range(30)}
+    for i in range(101):
+        name = chr(97 + i % 26) + chr(97 + i // 26)
+        sources |= {f"e/{k}{name}.qml": "\n".join(f"long_enough_{name}_{c}: {k if c == 'g' else 1}{k}" for c in "abcdef") + f"\n{k}{name}q" for k in "ab"}
+        sources[f"e/b{name}.qml"] = sources[f"e/a{name}.qml"]
+    p = project(spark, sources)
+    g = {r["lines"]: r for r in p.clones.where("lines = 7 and size(instances) > 2").collect()}
+    assert [r["file"] for r in g[7]["instances"]] == [f"d/F{i:02}.qml" for i in range(30)] and g[7]["instances"][0]["start"] == 3
+    assert g[7]["sample"] == body.split("\n")
+    assert p.clones.where("lines = 9").first()["instances"][1]["file"] == "d/F01.qml"
+    assert p.clones.count() == 100 and p.clone_places.select("content").distinct().count() == 103
+
+
+def test_clone_places_by_brute_force(spark):
+    """Random files with blank lines and repeats, against the extension of each window by hand."""
+    pick, size = random.Random(3), 3
+    words = ["alpha_alpha_alpha", "beta_beta_beta_beta", "gamma_gamma_gamma", ""]
+    texts = {f"f{n}": [pick.choice(words) for _ in range(pick.randint(0, 25))] for n in range(16)}
+    texts["copy"] = texts["f0"] = texts["f0"] + words * 2
+    windows = {}
+    for f, x in texts.items():
+        for i in range(len(x) - size + 1):
+            own = x[i : i + size]
+            if sum(map(bool, own)) >= size - 1 and len("\n".join(own)) >= 40:
+                windows.setdefault(tuple(own), []).append((f, i))
+    want = set()
+    for places in windows.values():
+        if len({f for f, _ in places}) > 1:
+            same = lambda d, places=places: len(v := {texts[f][i + d] if 0 <= i + d < len(texts[f]) else "" for f, i in places}) == 1 and "" not in v
+            back = next(n for n in range(99) if not same(-n - 1))
+            ahead = next(n for n in range(99) if not same(size + n))
+            f, i = places[0]
+            want |= {("\n".join(texts[f][i - back : i + size + ahead]), g, j - back + 1, j + size + ahead) for g, j in places}
+    got = clones.clone_places(spark.createDataFrame([(f, "\n".join(x)) for f, x in texts.items()], "path string, code string"), size).collect()
+    content = lambda r: "\n".join(texts[r["file"]][r["start"] - 1 : r["end"]])
+    assert len(got) == len(want) > 50 and {(content(r), r["file"], r["start"], r["end"]) for r in got} == want

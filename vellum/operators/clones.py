@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-PER_KEY = 25
 GROUPS = 100
 
 
@@ -27,59 +24,57 @@ def windows(lines: DataFrame, size: int, least: int = 40) -> DataFrame:
     return rows.where(full).select("path", "line", F.sha2(text, 256).alias("key"))
 
 
-def repeated_windows(wins: DataFrame) -> DataFrame:
-    """(key, places array<struct<path,line>>, first): keys in two files or more, with their first PER_KEY places.
-
-    The least PER_KEY places are found by partial aggregation of one row a key and file, so that a key found
-    everywhere isn't gathered.
-    """
-    busy = wins.groupBy("key").agg(F.min("path").alias("a"), F.max("path").alias("b")).where("a <> b").select("key")
-    w = Window.partitionBy("key").orderBy("place", "line")
-    ranked = wins.join(busy, "key").withColumn("place", F.collate("path", "UNICODE")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= PER_KEY)
-    return ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "path", "line"))).alias("p")).where(F.size(F.array_distinct(F.transform("p", lambda x: x["path"]))) > 1).select("key", F.transform("p", lambda x: F.struct(x["path"].alias("path"), x["line"].alias("line"))).alias("places"))
-
-
-def clone_groups(files: DataFrame, size: int) -> DataFrame:
-    """(id, lines, instances array<struct<file,start,end>>, sample array<string>) of the GROUPS longest.
+def clone_places(files: DataFrame, size: int) -> DataFrame:
+    """(content, lines, file, start, end): all places of all groups of windows that two files or more have.
 
-    files: (path, text, code). Each key's places (PER_KEY at most) meet their files' lines; one function a key extends them by
-    the lines that all places share. Keys of the same extended content are one group.
+    files: (path, code). The places of a window are extended by the lines that all of them share: the common beginning of many
+    lists is that of the least and the greatest, so that no place is left out and none are gathered. A window whose places all
+    continue those of the window a line before, and are as many, says nothing new and isn't extended.
     """
-    norm = files.select("path", F.transform(X.lines(F.col("code")), X.clone_line).alias("norm"), X.lines(F.col("text")).alias("raw"))
+    norm = files.select("path", F.transform(X.lines(F.col("code")), X.clone_line).alias("norm"))
     lines = norm.select("path", F.posexplode("norm").alias("i", "norm")).select("path", (F.col("i") + 1).alias("line"), "norm")
-    keys = repeated_windows(windows(lines, size))
-    placed = keys.select("key", F.posexplode("places").alias("n", "p")).select("key", "n", "p.path", "p.line").join(norm, "path")
-
-    def extend(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("n")
-        texts, starts = [list(x) for x in pdf["norm"]], [int(x) - 1 for x in pdf["line"]]
-
-        def agree(shift):
-            at = [s + shift for s in starts]
-            values = {t[i] if 0 <= i < len(t) else "" for t, i in zip(texts, at, strict=True)}
-            return len(values) == 1 and "" not in values
-
-        back = 0
-        while agree(-back - 1):
-            back += 1
-        ahead = size
-        while agree(ahead):
-            ahead += 1
-        lo, hi = starts[0] - back, starts[0] + ahead
-        content = hashlib.sha1("\n".join(texts[0][lo:hi]).encode()).hexdigest()
-        spots = [{"file": f, "start": s - back + 1, "end": s + ahead} for f, s in zip(pdf["path"], starts, strict=True)]
-        return pd.DataFrame({"content": [content], "lines": [back + ahead], "file": [pdf["path"].iloc[0]], "line": [int(pdf["line"].iloc[0])], "instances": [spots], "sample": [list(pdf["raw"].iloc[0])[lo:hi]]})
-
-    spot = "array<struct<file:string,start:int,end:int>>"
-    grown = placed.groupBy("key").applyInPandas(extend, f"content string, lines int, file string, line int, instances {spot}, sample array<string>")
-    first = F.struct(F.collate("file", "UNICODE"), "line")
-    merged = grown.groupBy("content").agg(F.min_by("lines", first).alias("lines"), F.min_by("sample", first).alias("sample"), F.array_sort(F.collect_list(F.struct("file", "line", "instances"))).alias("all"))
-    merged = merged.withColumn("instances", F.array_distinct(F.flatten(F.transform("all", lambda x: x["instances"]))))
-    top = [F.desc("lines"), F.desc(F.size("instances")), F.collate(F.col("instances")[0]["file"], "UNICODE"), F.col("instances")[0]["start"], "content"]
-    best = merged.orderBy(*top).limit(GROUPS)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(*top))).select(F.concat(F.lit("clone."), F.col("rank").cast("string")).alias("id"), "rank", F.lit("normalized_line_window").alias("kind"), "lines", "instances", "sample")
+    wins = windows(lines, size)
+    near = Window.partitionBy("path").orderBy("line")
+    before = F.when(F.lag("line").over(near) == F.col("line") - 1, F.lag("key").over(near))
+    keys = wins.withColumn("last", before).groupBy("key").agg(
+        F.min("path").alias("a"), F.max("path").alias("b"), F.count("*").alias("n"), F.count("last").alias("led"), F.min("last").alias("last"), F.max("last").alias("other"),
+    ).where("a <> b")
+    whole = keys.select(F.col("key").alias("last"), F.col("n").alias("before"))
+    heads = keys.withColumn("last", F.when((F.col("led") == F.col("n")) & (F.col("last") == F.col("other")), F.col("last"))).join(whole.hint("merge"), "last", "left")
+    # The line before and the window's last have to be of text, as extension stops at blank ones: looked up in the file below.
+    marked = heads.select("key", F.coalesce(F.col("before") == F.col("n"), F.lit(False)).alias("follows"))
+    spots = wins.join(marked.hint("merge"), "key").join(norm.hint("merge"), "path")
+    prior = F.when(F.col("line") > 1, F.get("norm", F.col("line") - 2)).otherwise("")
+    spots = spots.where(~(F.col("follows") & (prior != "") & (F.get("norm", F.col("line") + size - 2) != "")))
+    until = lambda x: F.when(F.array_position(x, "") > 0, F.slice(x, F.lit(1), (F.array_position(x, "") - 1).cast("int"))).otherwise(x)
+    spots = spots.select(
+        "key", "path", "line", until(F.reverse(F.slice("norm", F.lit(1), F.col("line") - 1))).alias("back"), until(F.slice("norm", F.col("line") + size, F.size("norm"))).alias("ahead"),
+        F.slice("norm", F.col("line"), F.lit(size)).alias("own"),
+    )
+    shared = lambda x, y: F.when(F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False) > 0, F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False) - 1).otherwise(F.size(x)).cast("int")
+    grown = spots.groupBy("key").agg(F.min("back").alias("b0"), F.max("back").alias("b1"), F.min("ahead").alias("a0"), F.max("ahead").alias("a1"), F.min("own").alias("own"))
+    grown = grown.withColumns({"nb": shared(F.col("b0"), F.col("b1")), "na": shared(F.col("a0"), F.col("a1"))})
+    content = F.sha1(F.concat_ws("\n", F.reverse(F.slice("b0", F.lit(1), F.col("nb"))), "own", F.slice("a0", F.lit(1), F.col("na"))))
+    grown = grown.select("key", content.alias("content"), "nb", (F.col("nb") + size + F.col("na")).alias("lines"))
+    start = F.col("line") - F.col("nb")
+    return spots.select("key", "path", "line").join(grown.hint("merge"), "key").select("content", "lines", F.col("path").alias("file"), start.alias("start"), (start + F.col("lines") - 1).alias("end")).distinct()
+
+
+def clone_groups(files: DataFrame, size: int, places: DataFrame | None = None) -> DataFrame:
+    """(id, rank, kind, lines, instances array<struct<file,start,end>>, sample array<string>): the report's list of the GROUPS
+    longest, each with all its places; files: (path, text, code)."""
+    places = clone_places(files, size) if places is None else places
+    first = F.struct(F.collate("file", "UNICODE").alias("place"), "start", "file")
+    groups = places.groupBy("content").agg(F.max("lines").alias("lines"), F.count("*").alias("n"), F.min(first).alias("first"))
+    top = [F.desc("lines"), F.desc("n"), F.col("first.place"), F.col("first.start"), "content"]
+    best = groups.orderBy(*top).limit(GROUPS).withColumn("rank", F.row_number().over(Window.orderBy(*top)))
+    best = best.select("content", "rank", F.col("first.file").alias("path"), F.col("first.start").alias("start"))
+    spot = F.struct(F.collate("file", "UNICODE").alias("place"), "start", "file", "end")
+    all_ = places.join(F.broadcast(best.select("content", "rank")), "content").groupBy("content").agg(F.first("lines").alias("lines"), F.array_sort(F.collect_list(spot)).alias("all"))
+    sample = files.join(F.broadcast(best.select("path").distinct()), "path").select("path", X.lines(F.col("text")).alias("raw"))
+    rows = best.join(all_, "content").join(sample, "path")
+    instances = F.transform("all", lambda x: F.struct(x["file"].alias("file"), x["start"].alias("start"), x["end"].alias("end")))
+    return rows.select(F.concat(F.lit("clone."), F.col("rank").cast("string")).alias("id"), "rank", F.lit("normalized_line_window").alias("kind"), "lines", instances.alias("instances"), F.slice("raw", F.col("start"), F.col("lines")).alias("sample"))
 
 
 def structural_clones(objects: DataFrame, bindings: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ def project_scores(project) -> DataFrame:
         F.avg(F.col("hardcoded_colors") + F.greatest(F.col("numeric_style_literals") - 8, F.lit(0))).alias("sty"), F.avg("process_boundary_violations").alias("bnd"),
     )
     s = project.files.select("loc.source").agg(F.greatest(F.sum("source"), F.lit(1)).alias("lines"), over("source", limit).alias("big"))
-    d = project.clones.agg(F.coalesce(F.sum(F.col("lines") * F.greatest(F.size("instances") - 1, F.lit(1))), F.lit(0)).alias("again"))
+    # Of all groups, not of the report's list.
+    d = project.clone_places.groupBy("content").agg(F.max("lines").alias("lines"), F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("lines") * F.greatest(F.col("n") - 1, F.lit(1))), F.lit(0)).alias("again"))
     a = project.findings.where("not suppressed").agg(F.count_if(F.col("severity") == "high").alias("hi"), F.count_if(F.col("severity") == "medium").alias("mid"))
     row = f.join(c, F.lit(True)).join(s, F.lit(True)).join(d, F.lit(True)).join(a, F.lit(True))
     made = {

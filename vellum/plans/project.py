@@ -235,11 +235,19 @@ class Project:
 
         return Resolution(self)
 
+    @cached_property
+    def clone_places(self) -> DataFrame:
+        """All places of all groups of repeated lines."""
+        from ..operators.clones import clone_places
+
+        return self._keep(clone_places(self.parsed.where("kind <> 'qmldir'").select("path", "code"), int(self.config.thresholds["cloneWindow"])), "clone_places")
+
     @cached_property
     def clones(self) -> DataFrame:
+        """The report's list of the longest groups."""
         from ..operators.clones import clone_groups
 
-        return self._keep(clone_groups(self.parsed.where("kind <> 'qmldir'").select("path", "text", "code"), int(self.config.thresholds["cloneWindow"])), "clones")
+        return self._keep(clone_groups(self.parsed.where("kind <> 'qmldir'").select("path", "text", "code"), int(self.config.thresholds["cloneWindow"]), self.clone_places), "clones")
 
     @cached_property
     def findings(self) -> DataFrame:
