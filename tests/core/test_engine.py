@@ -371,3 +371,10 @@ def test_clone_places_by_brute_force(spark):
     got = clones.clone_places(spark.createDataFrame([(f, "\n".join(x)) for f, x in texts.items()], "path string, code string"), size).collect()
     content = lambda r: "\n".join(texts[r["file"]][r["start"] - 1 : r["end"]])
     assert len(got) == len(want) > 50 and {(content(r), r["file"], r["start"], r["end"]) for r in got} == want
+
+
+def test_edges_make_no_nodes(spark):
+    p = project(spark, {"m/qmldir": "module m\nB 1.0 B.qml", "m/B.qml": "Item {}", "A.qml": "import m\nimport no.such\nItem { B {} }", "d/C.qml": "import m\nItem {}"})
+    rows = {tuple(r)[:3] for r in graph.architecture_edges(p).collect()}
+    assert rows == {("A.qml", "m/B.qml", "component_use"), ("A.qml", "m/qmldir", "local_import"), ("A.qml", "no.such", "unresolved_import"), ("d/C.qml", "m/qmldir", "local_import")}
+    assert "components" not in p.__dict__
